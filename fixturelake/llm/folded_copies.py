@@ -116,21 +116,20 @@ def same_two_pointers(a: str | None, b: str | None) -> bool:
         i, j = i + 1, j + 1
 
 
+def folded_words(s: str, letters_apart: bool = False) -> list[str]:
+    """The folded words of a text in order of the alphabet; built only to verify, never to group."""
+    t = fold_table()
+    folded = "".join("" if t[ord(c)] == SKIP else " " if t[ord(c)] == BREAK else chr(t[ord(c)]) for c in s)
+    if not letters_apart:
+        return sorted(folded.split())
+    return sorted([*filter(None, ["".join(c for c in folded if "0" <= c <= "9")]), *"".join(" " if "0" <= c <= "9" else c for c in folded).split()])
+
+
 def same_words(a: str | None, b: str | None, letters_apart: bool = False) -> bool:
-    """Whether two texts hold the same folded words in any order; exact, used where the order differs."""
+    """Whether two texts hold the same folded words in any order."""
     if a is None or b is None:
         return a is b
-
-    def words(s: str) -> list[str]:
-        t = fold_table()
-        folded = "".join("" if t[ord(c)] == SKIP else " " if t[ord(c)] == BREAK else chr(t[ord(c)]) for c in s)
-        out = folded.split()
-        if letters_apart:
-            digits = "".join(c for c in folded if c.isdigit())
-            out = [digits, *"".join(" " if c.isdigit() else c for c in folded).split()]
-        return sorted(out)
-
-    return words(a) == words(b)
+    return folded_words(a, letters_apart) == folded_words(b, letters_apart)
 
 
 def flags(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -142,15 +141,16 @@ def flags(df: DataFrame, columns: list[str]) -> list[Column]:
     return parts
 
 
-def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, ...] = (), times: tuple[str, ...] = ()) -> DataFrame:
+def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, ...] = (), times: tuple[str, ...] = (), bits: int = 64) -> DataFrame:
     """(row, keep_id, n_copies): each row with the smallest ``row`` of its record and the record's number of rows.
 
     Two rows are one record when all columns but ``row`` and ``ignore`` are equal (null equal to null), where
     ``texts`` are compared without blanks, letter case, punctuation and the order of their parts. Rows first
     shrink to one per distinct combination of hashes and kept text (pre-aggregated before the shuffle, so
     a record holding a third of all rows is no burden); classes of equal hashes are then verified against
-    their first text by two pointers, or word by word where the order differs, and a class that holds a
-    collision is split by exact comparison. Empty tables give none; empty and null texts differ.
+    their first text by two pointers, or word by word where the order differs, and rows that
+    only share hashes are set apart by their folded words. Empty tables give none; empty and null texts differ.
+    ``bits`` of each hash are kept (tests force collisions with few).
     """
     others = [c for c in df.columns if c not in {row, *texts, *ignore}]
     base = df.select(
@@ -166,7 +166,7 @@ def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, .
         for b in batches:
             cols = list(b.columns)
             for i, c in enumerate(texts):
-                s, w = rolling_hashes(b.column(3 + i).cast(pa.string()), c in times)
+                s, w = (h >> (64 - bits) if bits < 64 else h for h in rolling_hashes(b.column(3 + i).cast(pa.string()), c in times))
                 cols += [pa.array(s), pa.array(w)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
@@ -182,23 +182,36 @@ def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, .
         at = [f"_{'ws'[choice >> i & 1]}{i}" for i in range(len(texts))]
         labelled = labelled.withColumn("_keep", F.min("_keep").over(W.partitionBy("_o1", "_o2", *at)))
     labelled = labelled.withColumn("_keep", F.min("_keep").over(W.partitionBy("_o1", "_o2", *[f"_w{i}" for i in range(len(texts))])))
-    firsts = [f"_f{i}" for i in range(len(texts))]
-    led = W.partitionBy("_o1", "_o2", "_keep").orderBy("_least").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    led = labelled.select("*", *(F.first(f"_t{i}").over(led).alias(f) for i, f in enumerate(firsts)))
-
-    @F.pandas_udf("boolean")
-    def true_copy(*c: pd.Series) -> pd.Series:
-        half = len(c) // 2
-        none = lambda x: None if x is None or x != x else x
-        rows = zip(*(s.tolist() for s in c))
-        return pd.Series([
-            all(a == b or same_two_pointers(none(a), none(b)) or same_words(none(a), none(b), texts[k] in times)
-                for k, (a, b) in enumerate(zip(r[:half], r[half:]))) for r in rows
-        ], dtype=bool)
-
-    checked = led.withColumn("_true", (F.col("_least") == F.col("_keep")) | true_copy(*(f"_t{i}" for i in range(len(texts))), *firsts))
-    # a variant that only shares hashes keeps a record of its own, together with the variants of its exact text
-    split = W.partitionBy("_o1", "_o2", "_keep", "_true", *(f"_t{i}" for i in range(len(texts))))
+    # each class of equal hashes is verified against its first text, by two pointers or word by word
+    shown = ["*"]
+    for k in "sw":
+        led = W.partitionBy("_o1", "_o2", *(f"_{k}{i}" for i in range(len(texts)))).orderBy("_least").rowsBetween(W.unboundedPreceding, W.currentRow)
+        shown += [F.first(f"_t{i}").over(led).alias(f"_f{k}{i}") for i in range(len(texts))]
+    led = labelled.select(*shown)
+
+    def agree(same):
+        @F.pandas_udf("boolean")
+        def check(*c: pd.Series) -> pd.Series:
+            half = len(c) // 2
+            none = lambda x: x if isinstance(x, str) else None
+            return pd.Series([all(a == b or same(none(a), none(b), texts[k] in times) for k, (a, b) in enumerate(zip(r[:half], r[half:]))) for r in zip(*(s.tolist() for s in c))], dtype=bool)
+
+        return check
+
+    own = [f"_t{i}" for i in range(len(texts))]
+    in_order = agree(lambda a, b, _: same_two_pointers(a, b))(*own, *(f"_fs{i}" for i in range(len(texts))))
+    any_order = agree(same_words)(*own, *(f"_fw{i}" for i in range(len(texts))))
+    checked = led.withColumn("_true", in_order & any_order)
+
+    @F.pandas_udf("string")
+    def set_apart(true: pd.Series, *c: pd.Series) -> pd.Series:
+        def one(r):
+            return repr([folded_words(x, texts[k] in times) if isinstance(x, str) else None for k, x in enumerate(r)])
+
+        return pd.Series([None if t else one(r) for t, r in zip(true, zip(*(s.tolist() for s in c)))], dtype=object)
+
+    checked = checked.withColumn("_apart", set_apart("_true", *own))
+    split = W.partitionBy("_o1", "_o2", "_keep", "_apart")
     owned = checked.withColumn("_keep", F.when(F.col("_true"), F.col("_keep")).otherwise(F.min("_least").over(split)))
     sized = owned.withColumn("_copies", F.sum("_n").over(W.partitionBy("_o1", "_o2", "_keep")))
     kept = sized.select(*keys, "_n", F.col("_keep").alias("keep_id"), F.col("_copies").alias("n_copies"))

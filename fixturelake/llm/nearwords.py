@@ -54,7 +54,7 @@ class NearWords:
     """Words within a small edit distance: two words that near share a form with few characters left out."""
 
     def __init__(self, words: set[str], most: int = 2):
-        self.most, self.words = most, frozenset(words)
+        self.most, self.words, self.longest = most, frozenset(words), max(map(len, words), default=0)
         self.index: dict[str, list[str]] = {}
         for w in sorted(words):
             for d in deletes(w, self._reach(w)):
@@ -66,6 +66,8 @@ class NearWords:
 
     def near(self, word: str, most: int) -> list[tuple[int, str]]:
         """(distance, word) of all words within ``most`` edits, nearest first."""
+        if len(word) > self.longest + most:
+            return []
         most = min(most, self.most, self._reach(word) + 1)
         key = (word, most)
         if (hit := self._seen.get(key)) is not None:

@@ -191,10 +191,10 @@ class People:
                                 best = min(best, JOIN + EDIT * d + c + LEFT_GIVEN * (len(others) - len(rest)))
         return best
 
-    def person(self, words: list[tuple[str, bool]]) -> tuple[int | None, float, float]:
-        """(owner or None when nobody or open, cost, cost of the next person)."""
+    def person(self, words: list[tuple[str, bool]]) -> tuple[int, float, float, bool] | None:
+        """(owner, cost, cost of the next person, whether initials are in it) of the nearest person, or None."""
         if not words or sum(len(w) for w, _ in words) < 5 or len(words) > 8:
-            return None, float("inf"), float("inf")
+            return None
         costs: dict[int, float] = {}
         for i in self.candidates(words):
             owner, given, last = self.forms[i]
@@ -202,37 +202,57 @@ class People:
             if c <= MOST and c < costs.get(owner, float("inf")):
                 costs[owner] = c
         if not costs:
-            return None, float("inf"), float("inf")
+            return None
         ranked = sorted((c, o) for o, c in costs.items())
-        nxt = ranked[1][0] if len(ranked) > 1 else float("inf")
-        short = any(len(w) <= 2 for w, _ in words)
-        owner = ranked[0][1] if nxt - ranked[0][0] >= (GAP_SHORT if short else GAP) else None
-        return owner, ranked[0][0], nxt
+        return ranked[0][1], ranked[0][0], ranked[1][0] if len(ranked) > 1 else float("inf"), any(len(w) <= 2 for w, _ in words)
 
-    def who(self, cell: str) -> list[tuple[int | None, float, float]]:
-        """The people a cell of one form means, with cost and the cost of the next person; [] for nobody.
+    def options(self, cell: str) -> list[tuple[int, int, float, float, bool]]:
+        """(part, owner, cost, next, short): nearest people of the whole cell (part 0) and of each side of each cut.
 
-        A cell that is an account's own spelling gives [] too: there is nothing to bring together.
+        A cell that is an account's own spelling gives the one option of part -1: there is nothing to bring together.
         """
-        own = spelling(cell)
+        if (own := self.exact(spelling(cell))) is not None:
+            return [(-1, own, 0.0, float("inf"), False)]
         text = re.sub(r"\([^)]*\)|\*", " ", cell)
-        whole = [w for w in words_of(text) if w[0] not in TITLES]
-        exact = self.exact(own)
-        if exact is not None:
+        clean = lambda t: [w for w in words_of(t) if w[0] not in TITLES]
+        out = [(0, *p)] if (p := self.person(clean(text))) else []
+        pieces = [p for p in re.split(r"\s*[/,+&;|–—-]\s*|\s+(?:ve|and)\s+", text, flags=re.I) if p.strip()]
+        if not out or out[0][2] > 3 * EDIT:
+            for cut in range(1, min(len(pieces), 8)):
+                for side, t in enumerate((" ".join(pieces[:cut]), " ".join(pieces[cut:]))):
+                    if p := self.person(clean(t)):
+                        out.append((2 * cut + side, *p))
+        return out
+
+    @staticmethod
+    def settle(options: list[tuple[int, int, float, float, bool]]) -> list[int]:
+        """Owners the options of one cell add up to, over all blocks: one for the whole, or one for each side of the best cut."""
+        parts: dict[int, list] = defaultdict(list)
+        for o in options:
+            parts[o[0]].append(o)
+        if -1 in parts:
             return []
-        one = self.person(whole)
-        if one[1] <= 3 * EDIT:
-            return [one]
-        parts = [p for p in re.split(r"\s*[/,+&;|–—-]\s*|\s+(?:ve|and)\s+", text, flags=re.I) if p.strip()]
-        if len(parts) < 2:
-            return [one] if one[1] < float("inf") else []
-        found = []
-        for cut in range(1, len(parts)):
-            sides = [" ".join(parts[:cut]), " ".join(parts[cut:])]
-            got = [self.person([w for w in words_of(s) if w[0] not in TITLES]) for s in sides]
-            found.append((sum(g[0] is not None for g in got), -sum(min(g[1], 9) for g in got), got))
-        two = [g for g in max(found, key=lambda f: f[:2])[2] if g[0] is not None]
-        return two if two and (len(two) == 2 or one[0] is None) else [one] if one[0] is not None else []
+        best: dict[int, tuple[int | None, float]] = {}
+        for part, opts in parts.items():
+            opts.sort(key=lambda o: (o[2], o[1]))
+            _, owner, cost, nxt, short = opts[0]
+            nxt = min([nxt, *(o[2] for o in opts[1:] if o[1] != owner)])
+            best[part] = (owner if nxt - cost >= (GAP_SHORT if short else GAP) else None, cost)
+        whole = best.get(0)
+        if whole and whole[1] <= 3 * EDIT:
+            return [whole[0]] if whole[0] is not None else []
+        cuts = []
+        for cut in {p // 2 for p in best if p > 0}:
+            sides = [best[p] for p in (2 * cut, 2 * cut + 1) if p in best]
+            cuts.append((sum(o is not None for o, _ in sides), -sum(c for _, c in sides) - 9 * (2 - len(sides)), sorted(o for o, _ in sides if o is not None)))
+        n, _, two = max(cuts, default=(0, 0, []))
+        if n == 2 or n and not (whole and whole[0] is not None):
+            return two
+        return [whole[0]] if whole and whole[0] is not None else []
+
+    def who(self, cell: str) -> list[int]:
+        """The accounts a cell of one form means; [] for nobody, for several possible people and for an own spelling."""
+        return self.settle(self.options(cell))
 
     def exact(self, own: str) -> int | None:
         if not hasattr(self, "_exact"):
@@ -309,7 +329,7 @@ def resolve_cells(cells: DataFrame, accounts: DataFrame) -> DataFrame:
         .join(owners, "user_id", "left").withColumn("owner", F.coalesce("owner", "user_id"))
     )
     blocks = max(1, -(-listed.count() // BLOCK_ACCOUNTS))
-    answers = None
+    answers, final = None, blocks == 1
     for k in range(blocks):
         rows = listed.where(F.pmod(F.xxhash64("owner"), F.lit(blocks)) == k).collect()
         shared = cells.sparkSession.sparkContext.broadcast(sorted((r[0], r[1], r[2], r[3]) for r in rows))
@@ -317,22 +337,26 @@ def resolve_cells(cells: DataFrame, accounts: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             people = None
             for pdf in batches:
-                if people is None:
-                    people = People([(u, f, x) for u, f, x, _ in shared.value], {u: o for u, _, _, o in shared.value})
-                out = []
-                for cell, form, n in zip(pdf["cell"], unify_strings(pdf["cell"].tolist()), pdf["_n"]):
-                    got = people.who(form)
-                    if people.exact(spelling(form)) is not None:
-                        got = [(None, -1.0, -1.0)]
-                    out += [(cell, n, i, o, c, x) for i, (o, c, x) in enumerate(got)]
-                yield pd.DataFrame(out, columns=["cell", "_n", "part", "user_id", "cost", "next"]).astype({"user_id": "Int64"})
-
-        part = distinct.repartition("cell").mapInPandas(run, "cell string, _n long, part int, user_id long, cost double, next double")
+                people = people or People([(u, f, x) for u, f, x, _ in shared.value], {u: o for u, _, _, o in shared.value})
+                got = [people.options(form) for form in unify_strings(pdf["cell"].tolist())]
+                if final:
+                    out = [(c, n, 0, u, 0.0, 0.0, False) for c, n, o in zip(pdf["cell"], pdf["_n"], got) for u in people.settle(o)]
+                else:
+                    out = [(c, n, *x) for c, n, o in zip(pdf["cell"], pdf["_n"], got) for x in o]
+                yield pd.DataFrame(out, columns=["cell", "_n", "part", "user_id", "cost", "next", "short"])
+
+        part = distinct.repartition("cell").mapInPandas(run, "cell string, _n long, part int, user_id long, cost double, next double, short boolean")
         answers = part if answers is None else answers.unionByName(part)
-    if blocks > 1:  # least cost wins when every other block, and the next of its own block, cost enough more
-        best = answers.groupBy("cell", "_n", "part").agg(F.min(F.struct("cost", "user_id", "next")).alias("b"), F.sort_array(F.collect_list("cost")).alias("cs"))
-        answers = best.where("size(cs) = 1 OR cs[1] - cs[0] >= 0.25").select("cell", "_n", "part", "b.user_id", "b.cost", "b.next")
+    if not final:
+
+        def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([(c, n, u) for c, n, o in zip(pdf["cell"], pdf["_n"], pdf["o"]) for u in People.settle([tuple(x.values()) for x in o])], columns=["cell", "_n", "user_id"])
+
+        # a cell has at most 15 options a block
+        options = answers.groupBy("cell", "_n").agg(F.collect_list(F.struct("part", "user_id", "cost", "next", "short")).alias("o"))
+        answers = options.mapInPandas(settle, "cell string, _n long, user_id long")
     # one group a text for the way back: the people it means as a list of at most two
-    meant = answers.where("user_id IS NOT NULL").groupBy("cell", "_n").agg(F.sort_array(F.collect_set("user_id")).alias("users"))
+    meant = answers.groupBy("cell", "_n").agg(F.sort_array(F.collect_set("user_id")).alias("users"))
     back = attach(cells.where("cell IS NOT NULL"), meant, ["cell"], "_n")
     return back.select("field", "row_id", "pos", F.explode("users").alias("user_id"))
