@@ -157,6 +157,7 @@ def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, .
         F.col(row).alias("_row"),
         F.xxhash64(F.lit(1), *flags(df, others)).alias("_o1"),
         F.hash(F.lit(7), *flags(df, others)).alias("_o2"),
+        F.xxhash64(F.lit(3), *flags(df, texts)).alias("_x"),
         *(F.col(c).alias(f"_t{i}") for i, c in enumerate(texts)),
     )
     hashes = [f"_{k}{i}" for i in range(len(texts)) for k in "sw"]
@@ -166,12 +167,12 @@ def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, .
         for b in batches:
             cols = list(b.columns)
             for i, c in enumerate(texts):
-                s, w = (h >> (64 - bits) if bits < 64 else h for h in rolling_hashes(b.column(3 + i).cast(pa.string()), c in times))
+                s, w = (h >> (64 - bits) if bits < 64 else h for h in rolling_hashes(b.column(4 + i).cast(pa.string()), c in times))
                 cols += [pa.array(s), pa.array(w)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     hashed = base.mapInArrow(run, schema)
-    keys = ["_o1", "_o2", *hashes]
+    keys = ["_o1", "_o2", *hashes, "_x"]  # one variant per text as written, so that each is verified
     variants = hashed.groupBy(*keys).agg(
         F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n"),
         *(F.min_by(f"_t{i}", "_row").alias(f"_t{i}") for i in range(len(texts))),
