@@ -15,16 +15,19 @@ SALTS = 64
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Inner join of rows with groups (one row a key, ``size`` = its number of rows) on non-null keys.
 
-    Keys holding more than 1/HOT of all rows are broadcast (never more than HOT of them); the others, each
-    small by construction, go through a shuffle join.
+    Keys holding more than 1/HOT of all rows (never more than HOT of them) are broadcast; their rows take a salt
+    into the shuffle that follows, so they spread over all tasks, and meet nothing there. All other keys are small
+    by construction. Rows are read once.
     """
+    value = [c for c in groups.columns if c not in keys and c != size]
     total = groups.agg(F.sum(size).alias("_total"))
-    marked = groups.crossJoin(F.broadcast(total)).withColumn("_hot", F.col(size) * HOT > F.col("_total")).drop("_total")
-    hot = F.broadcast(marked.where("_hot").drop("_hot", size))
-    cold = marked.where("NOT _hot").drop("_hot", size)
-    in_hot = rows.join(hot, keys)
-    rest = rows.join(F.broadcast(marked.where("_hot").select(*keys)), keys, "left_anti")
-    return in_hot.unionByName(rest.join(cold, keys))
+    marked = groups.crossJoin(F.broadcast(total)).withColumn("_hot", F.col(size) * HOT > F.col("_total")).drop("_total", size)
+    hot = marked.where("_hot").select(*keys, F.struct(F.lit(1).alias("_"), *value).alias("_h"))
+    cold = marked.where("NOT _hot").select(*keys, F.struct(F.lit(1).alias("_"), *value).alias("_c"), F.lit(0).cast("long").alias("_salt"))
+    met = rows.withColumn("_own", F.xxhash64(*rows.columns)).join(F.broadcast(hot), keys, "left")
+    met = met.withColumn("_salt", F.when(F.col("_h").isNull(), F.lit(0).cast("long")).otherwise(F.when(F.col("_own") == 0, F.lit(1).cast("long")).otherwise(F.col("_own")))).drop("_own")
+    both = met.join(cold, [*keys, "_salt"], "left").withColumn("_g", F.coalesce("_h", "_c")).where("_g IS NOT NULL")
+    return both.select(*rows.columns, *(F.col(f"_g.{c}").alias(c) for c in value))
 
 
 def dense_rank_in(df: DataFrame, group: list[str], order: Column, salt_on: str, out: str, salts: int = SALTS) -> DataFrame:
