@@ -53,8 +53,10 @@ def _powers(n: int) -> np.ndarray:
         return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
 
 
-def rolling_hashes(column: pa.Array, letters_apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the folded characters in order, hash of the multiset of folded words) of each text; 0 for null.
+def rolling_hashes(column: pa.Array, letters_apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each text: its folded characters in order, its folded words in any order, its characters in any order.
+
+    Texts that agree in the first or the second agree in the third, which serves as their block. 0 for null.
 
     The characters of the whole batch stream through the fold table; positions and per-word sums come from
     running counts, so no folded string is ever built. ``letters_apart``: the digits of a text count as one
@@ -67,7 +69,7 @@ def rolling_hashes(column: pa.Array, letters_apart: bool = False) -> tuple[np.nd
     row = np.repeat(np.arange(n), lengths)
     f = fold_table()[codes]
     real = f > BREAK
-    seq, words = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    seq, words, chars = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     if real.any():
         # a word starts where a real character follows a break, the start of a row, or a change of kind
         r, c = row[real], f[real]
@@ -78,7 +80,7 @@ def rolling_hashes(column: pa.Array, letters_apart: bool = False) -> tuple[np.nd
             digit = (c >= 48) & (c <= 57)
             order = np.lexsort((np.arange(len(r)), ~digit, r))  # the digits of a row first, each kind in order
             wr, wc, wd = r[order], c[order], digit[order]
-            wb = breaks[order]
+            wb = np.cumsum(first | np.r_[True, digit[1:] != digit[:-1]])[order]  # letters on two sides of digits are two words
             wfirst = np.ones(len(r), bool)
             wfirst[1:] = (wr[1:] != wr[:-1]) | (wd[1:] != wd[:-1]) | (~wd[1:] & (wb[1:] != wb[:-1]))
         else:
@@ -87,6 +89,7 @@ def rolling_hashes(column: pa.Array, letters_apart: bool = False) -> tuple[np.nd
             rstart = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             pos = np.arange(len(r)) - np.repeat(rstart, np.diff(np.r_[rstart, len(r)]))
             seq[r[rstart]] = mix(np.add.reduceat(mix(c) * _powers(int(pos.max()) + 1)[pos], rstart))
+            chars[r[rstart]] = mix(np.add.reduceat(mix(c), rstart))
             wstart = np.flatnonzero(wfirst)
             wpos = np.arange(len(wr)) - np.repeat(wstart, np.diff(np.r_[wstart, len(wr)]))
             each = mix(np.add.reduceat(mix(wc) * _powers(int(wpos.max()) + 1)[wpos], wstart))
@@ -94,9 +97,10 @@ def rolling_hashes(column: pa.Array, letters_apart: bool = False) -> tuple[np.nd
             at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             words[rows[at]] = mix(np.add.reduceat(each, at) + np.uint64(1))
     null = column.is_null().to_numpy(zero_copy_only=False)
-    seq[null] = words[null] = 0
+    seq[null] = words[null] = chars[null] = 0
+    chars[~null & (chars == 0)] = 1
     seq[~null & (seq == 0)] = words[~null & (words == 0)] = 1
-    return seq.view(np.int64), words.view(np.int64)
+    return seq.view(np.int64), words.view(np.int64), chars.view(np.int64)
 
 
 def same_two_pointers(a: str | None, b: str | None) -> bool:
@@ -160,33 +164,33 @@ def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, .
         F.xxhash64(F.lit(3), *flags(df, texts)).alias("_x"),
         *(F.col(c).alias(f"_t{i}") for i, c in enumerate(texts)),
     )
-    hashes = [f"_{k}{i}" for i in range(len(texts)) for k in "sw"]
+    hashes = [f"_{k}{i}" for i in range(len(texts)) for k in "swc"]
     schema = T.StructType([*base.schema.fields, *(T.StructField(h, T.LongType(), False) for h in hashes)])
 
     def run(batches):
         for b in batches:
             cols = list(b.columns)
             for i, c in enumerate(texts):
-                s, w = (h >> (64 - bits) if bits < 64 else h for h in rolling_hashes(b.column(4 + i).cast(pa.string()), c in times))
-                cols += [pa.array(s), pa.array(w)]
+                made = rolling_hashes(b.column(4 + i).cast(pa.string()), c in times)
+                cols += [pa.array(h >> (64 - bits) if bits < 64 else h) for h in made]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     hashed = base.mapInArrow(run, schema)
-    keys = ["_o1", "_o2", *hashes, "_x"]  # one variant per text as written, so that each is verified
-    variants = hashed.groupBy(*keys).agg(
-        F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n"),
-        *(F.min_by(f"_t{i}", "_row").alias(f"_t{i}") for i in range(len(texts))),
+    # one variant per text as written, so that each is verified; two words of 64 bits name it
+    keyed = hashed.withColumn("_v", F.xxhash64("_o1", "_o2", *hashes))
+    variants = keyed.groupBy("_v", "_x").agg(
+        F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in ("_o1", "_o2", *hashes)), *(F.first(f"_t{i}").alias(f"_t{i}") for i in range(len(texts))),
     )
+    # all classes of a variant lie in its block of equal other columns and equal characters: one shuffle for every window
+    block = ["_o1", "_o2", *(f"_c{i}" for i in range(len(texts)))]
+    labelled = variants.repartition(*block).withColumn("_keep", F.col("_least"))
     # a class is closed under equality of either hash of each text; every round takes the least row over one choice
-    labelled = variants.withColumn("_keep", F.col("_least"))
-    for choice in range(2 ** len(texts)):
-        at = [f"_{'ws'[choice >> i & 1]}{i}" for i in range(len(texts))]
-        labelled = labelled.withColumn("_keep", F.min("_keep").over(W.partitionBy("_o1", "_o2", *at)))
-    labelled = labelled.withColumn("_keep", F.min("_keep").over(W.partitionBy("_o1", "_o2", *[f"_w{i}" for i in range(len(texts))])))
+    for choice in [*range(2 ** len(texts)), 0]:
+        labelled = labelled.withColumn("_keep", F.min("_keep").over(W.partitionBy(*block, *(f"_{'ws'[choice >> i & 1]}{i}" for i in range(len(texts))))))
     # each class of equal hashes is verified against its first text, by two pointers or word by word
     shown = ["*"]
     for k in "sw":
-        led = W.partitionBy("_o1", "_o2", *(f"_{k}{i}" for i in range(len(texts)))).orderBy("_least").rowsBetween(W.unboundedPreceding, W.currentRow)
+        led = W.partitionBy(*block, *(f"_{k}{i}" for i in range(len(texts)))).orderBy("_least").rowsBetween(W.unboundedPreceding, W.currentRow)
         shown += [F.first(f"_t{i}").over(led).alias(f"_f{k}{i}") for i in range(len(texts))]
     led = labelled.select(*shown)
 
@@ -212,8 +216,8 @@ def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, .
         return pd.Series([None if t else one(r) for t, r in zip(true, zip(*(s.tolist() for s in c)))], dtype=object)
 
     checked = checked.withColumn("_apart", set_apart("_true", *own))
-    split = W.partitionBy("_o1", "_o2", "_keep", "_apart")
+    split = W.partitionBy(*block, "_keep", "_apart")
     owned = checked.withColumn("_keep", F.when(F.col("_true"), F.col("_keep")).otherwise(F.min("_least").over(split)))
-    sized = owned.withColumn("_copies", F.sum("_n").over(W.partitionBy("_o1", "_o2", "_keep")))
-    kept = sized.select(*keys, "_n", F.col("_keep").alias("keep_id"), F.col("_copies").alias("n_copies"))
-    return attach(hashed.select("_row", *keys), kept, keys, "_n").select(F.col("_row").alias(row), "keep_id", "n_copies")
+    sized = owned.withColumn("_copies", F.sum("_n").over(W.partitionBy(*block, "_keep")))
+    kept = sized.select("_v", "_x", "_n", F.col("_keep").alias("keep_id"), F.col("_copies").alias("n_copies"))
+    return attach(keyed.select("_row", "_v", "_x"), kept, ["_v", "_x"], "_n").select(F.col("_row").alias(row), "keep_id", "n_copies")

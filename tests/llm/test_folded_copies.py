@@ -10,11 +10,12 @@ TEXT = st.text(st.sampled_from("aAbıIiİ .-'3ş\t​"), max_size=8)
 @given(st.lists(st.one_of(st.none(), TEXT), max_size=8), st.booleans())
 @settings(max_examples=200, deadline=None)
 def test_hashes_agree_exactly_where_the_texts_do(texts, apart):
-    s, w = rolling_hashes(pa.array(texts, pa.string()), apart)
+    s, w, c = rolling_hashes(pa.array(texts, pa.string()), apart)
     for i, a in enumerate(texts):
         for j, b in enumerate(texts):
             assert (s[i] == s[j]) == same_two_pointers(a, b)
             assert (w[i] == w[j]) == same_words(a, b, apart)
+            assert c[i] == c[j] or not (same_two_pointers(a, b) or same_words(a, b, apart))
 
 
 SCHEMA = "rec_id long, name string, venue string, clock string, crew array<string>, other string, seen string, _keep string"
