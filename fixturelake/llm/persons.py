@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -120,7 +121,7 @@ class People:
                     whole[x + g].append(i)
         self.lasts, self.whole = lasts, whole
         self.near_last = NearWords(set(lasts), 2)
-        self.near_whole = NearWords(set(whole), 2)
+        self.near_whole = NearWords(set(whole), 1)
         self.known = set(by) | {w for w in lasts if len(w) >= 5}
 
     def candidates(self, words: list[tuple[str, bool]]) -> set[int]:
@@ -131,7 +132,7 @@ class People:
                 for _, x in self.near_last.near(w, 2 if len(w) >= 6 else 1):
                     out.update(self.lasts[x])
         for w in {"".join(plain), *(p for p in plain if len(p) >= 9)}:
-            for _, x in self.near_whole.near(w, 2):
+            for _, x in self.near_whole.near(w, 1):
                 out.update(self.whole[x])
         return out
 
@@ -313,7 +314,11 @@ def same_accounts(accounts: DataFrame) -> DataFrame:
             return labels.select(F.col("n").alias("user_id"), "owner")
 
 
-def resolve_cells(cells: DataFrame, accounts: DataFrame) -> DataFrame:
+#: The index of the block a worker matched last; workers outlive tasks.
+_PEOPLE: dict[str, People] = {}
+
+
+def resolve_cells(cells: DataFrame, accounts: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """(field, row_id, pos, user_id): whom each cell (field, row_id, pos, cell) means, where its spelling varies.
 
     Cells shrink to distinct texts before they are matched, so a name that fills a third of all cells is
@@ -323,7 +328,7 @@ def resolve_cells(cells: DataFrame, accounts: DataFrame) -> DataFrame:
     row; a cell naming two people gives one row each; accounts without a name take no part.
     """
     distinct = cells.where("cell IS NOT NULL AND trim(cell) <> ''").groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    owners = same_accounts(accounts)
+    owners = same_accounts(accounts) if owners is None else owners
     listed = durable(
         accounts.where("first_name IS NOT NULL AND last_name IS NOT NULL").select("user_id", "first_name", "last_name").distinct()
         .join(owners, "user_id", "left").withColumn("owner", F.coalesce("owner", "user_id"))
@@ -334,10 +339,12 @@ def resolve_cells(cells: DataFrame, accounts: DataFrame) -> DataFrame:
         rows = listed.where(F.pmod(F.xxhash64("owner"), F.lit(blocks)) == k).collect()
         shared = cells.sparkSession.sparkContext.broadcast(sorted((r[0], r[1], r[2], r[3]) for r in rows))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            people = None
+        def run(batches: Iterator[pd.DataFrame], shared=shared, name=f"{uuid.uuid4()}") -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                people = people or People([(u, f, x) for u, f, x, _ in shared.value], {u: o for u, _, _, o in shared.value})
+                if name not in _PEOPLE:
+                    _PEOPLE.clear()
+                    _PEOPLE[name] = People([(u, f, x) for u, f, x, _ in shared.value], {u: o for u, _, _, o in shared.value})
+                people = _PEOPLE[name]
                 got = [people.options(form) for form in unify_strings(pdf["cell"].tolist())]
                 if final:
                     out = [(c, n, 0, u, 0.0, 0.0, False) for c, n, o in zip(pdf["cell"], pdf["_n"], got) for u in people.settle(o)]

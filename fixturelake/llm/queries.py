@@ -35,8 +35,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
         part = m.select(F.lit(c).alias("field"), F.col("rec_id").alias("row_id"), F.posexplode(c).alias("pos", "cell"))
         cells = part if cells is None else cells.unionByName(part)
     cells = cells.unionByName(a.where("user_id IS NULL").select(F.lit("name_in_sheet").alias("field"), F.col("id").alias("row_id"), F.lit(0).alias("pos"), F.col("name_in_sheet").alias("cell")))
-    twins = same_accounts(accounts).where("user_id <> owner").select(F.lit("last_name").alias("field"), F.col("user_id").alias("row_id"), F.lit(0).alias("pos"), F.col("owner").alias("user_id"))
-    return resolve_cells(cells, accounts).unionByName(twins)
+    owners = same_accounts(accounts)
+    twins = owners.where("user_id <> owner").select(F.lit("last_name").alias("field"), F.col("user_id").alias("row_id"), F.lit(0).alias("pos"), F.col("owner").alias("user_id"))
+    return resolve_cells(cells, accounts, owners).unionByName(twins)
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
