@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,45 +15,46 @@ from fixturelake.operators.skew import SALTS, dense_rank_in
 from fixturelake.session import durable
 
 #: Buckets per capacity; a capacity of at most this many tokens has a bucket for every length.
-BUCKETS = 1024
+BUCKETS = 512
 
 
 def bucket_bounds(histogram: np.ndarray, most: int = BUCKETS) -> np.ndarray:
     """Upper bounds of at most ``most`` buckets of lengths 1..C that minimise total padding.
 
-    histogram[s] = number of items of length s. Dynamic programming over the lengths that occur, by divide and
-    conquer (the best split never moves back): cost of a bucket (i, j] is its items times its bound less their tokens.
+    histogram[s] = number of items of length s. Dynamic programming over the lengths that occur: a bucket of the
+    lengths i to j costs its items times its bound less their tokens, a line in the bound for each i, so each
+    layer is one sweep over a lower hull of lines, as many steps as there are lengths.
     """
-    sizes = np.flatnonzero(histogram[1:]) + 1
-    if len(sizes) <= most:
-        return sizes
-    n = histogram[sizes].astype(np.float64)
-    items, tokens = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * sizes)])
+    sizes = (np.flatnonzero(histogram[1:]) + 1).tolist()
     m = len(sizes)
-    best = sizes * items[1:] - tokens[1:]
+    if m <= most:
+        return np.array(sizes, np.int64)
+    n = [int(histogram[s]) for s in sizes]
+    items, tokens = [0, *accumulate(n)], [0, *accumulate(a * b for a, b in zip(n, sizes))]
+    best = [sizes[j] * items[j + 1] - tokens[j + 1] for j in range(m)]
     choice = np.zeros((most, m), np.int32)
     for k in range(1, most):
-        new, arg = np.empty(m), np.zeros(m, np.int32)
-        stack = [(0, m - 1, 0, m - 1)]
-        while stack:
-            lo, hi, a, b = stack.pop()
-            if lo > hi:
-                continue
-            mid = (lo + hi) // 2
-            i = np.arange(a, min(b, mid) + 1)
-            before = np.where(i > 0, best[i - 1], 0.0)
-            c = before + sizes[mid] * (items[mid + 1] - items[i]) - (tokens[mid + 1] - tokens[i])
-            at = int(np.argmin(c))
-            new[mid], arg[mid] = c[at], i[at]
-            stack += [(lo, mid - 1, a, i[at]), (mid + 1, hi, i[at], b)]
-        best, choice[k] = new, arg
+        new, hull, at = [0] * m, [], 0
+        for j in range(m):
+            # the line of buckets that begin at j: slope -items[j], height best[j - 1] + tokens[j]
+            line = (-items[j], (best[j - 1] if j else 0) + tokens[j], j)
+            while len(hull) - at >= 2 and (line[1] - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - line[0]):
+                hull.pop()
+            hull.append(line)
+            s = sizes[j]
+            while at + 1 < len(hull) and hull[at + 1][0] * s + hull[at + 1][1] <= hull[at][0] * s + hull[at][1]:
+                at += 1
+            a, b, i = hull[at]
+            new[j] = a * s + b + s * items[j + 1] - tokens[j + 1]
+            choice[k, j] = i
+        best = new
     bounds, j = [], m - 1
     for k in range(most - 1, -1, -1):
         bounds.append(sizes[j])
-        j = int(choice[k][j]) - 1
+        j = int(choice[k, j]) - 1
         if j < 0:
             break
-    return np.array(sorted(bounds))
+    return np.array(sorted(bounds), np.int64)
 
 
 def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -115,23 +119,22 @@ def pack(items: DataFrame, key: str, size: str, capacities: list[tuple[int, int]
             bounds_rows += [(cid, s, b) for s in range(low + 1, b + 1) if h[s]]
             low = b
         used = dict.fromkeys(counts, 0)
-        first = 0
-        for first, times, pattern in plan_containers(counts, cap):
+        runs = plan_containers(counts, cap)
+        for first, times, pattern in runs:
             for b, k in pattern:
                 plan_rows.append((cid, b, used[b], k, first, used[b] + k * times))
                 used[b] += k * times
-        runs_end = max([f + t for f, t, _ in plan_containers(counts, cap)], default=1)
-        next_free[cid] = max(runs_end, 1)
+        next_free[cid] = max([1, *(f + t for f, t, _ in runs)])
 
     # bounded by the capacities, whatever the number of items
     bounds_df = F.broadcast(spark.createDataFrame(bounds_rows or [(-1, 0, 0)], "capacity_id int, _len int, _bucket int"))
     pieces = each.where(rest > 0).select("capacity_id", key, "_size", "_cap", rest.cast("int").alias("_len")).join(bounds_df, ["capacity_id", "_len"])
     ranked = dense_rank_in(pieces, ["capacity_id", "_bucket"], F.col(key), key, "_rank", salts)
 
-    steps: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for cid, b in {(r[0], r[1]) for r in plan_rows}:
-        rows = sorted(r[2:5] for r in plan_rows if r[:2] == (cid, b))
-        steps[cid, b] = tuple(np.array(x, np.int64) for x in zip(*rows))
+    of_bucket: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+    for r in plan_rows:
+        of_bucket[r[0], r[1]].append(r[2:5])
+    steps = {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v))) for k, v in of_bucket.items()}
     shared = spark.sparkContext.broadcast(steps)
 
     key_type = items.schema[key].dataType
