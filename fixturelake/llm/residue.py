@@ -7,6 +7,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ NAME_COUNT = 2
 #: Identical masked short pages from this many records on are one template.
 PAGE_COUNT = 2
 #: A page of a template has at most so many letters; longer texts are content.
-PAGE_CHARS = 700
+PAGE_CHARS = 300
 
 _NAME = r"[A-Za-z_ÇĞİÖŞÜçğıöşü][\w.]{0,40}"
 # Delimiters of template languages that ordinary text doesn't use ...
@@ -123,23 +125,34 @@ def default_slots(line: str) -> bool:
     return False
 
 
+_WORD = re.compile(r"\w+")
+
+
 def filler(text: str) -> bool:
     """Whether the text holds filler: a run of filler Latin, or one short phrase said over and over."""
-    run = 0
-    for w in re.findall(r"\w+", text.lower()):
-        run = run + 1 if w in LOREM else 0
-        if run >= 8:
-            return True
-    return any(any(c.isalpha() for c in m[1]) for m in REPEAT.finditer(text + " "))
+    low = text.replace("İ", "i").replace("I", "ı").lower().replace("ı", "i")
+    words = _WORD.findall(low)
+    if len(LOREM.intersection(words)) >= 3:
+        run = 0
+        for w in words:
+            run = run + 1 if w in LOREM else 0
+            if run >= 8:
+                return True
+    # a phrase of k words said four times repeats each word k places on, 3 k times at least
+    if any(sum(map(eq, words, islice(words, k, None))) >= 3 * k for k in range(1, 5)):
+        return any(any(c.isalpha() for c in m[1]) for m in REPEAT.finditer(low + " "))
+    return False
 
 
 def whole_page(text: str) -> str | None:
     """What kind of page the whole text is, when it is one instead of content: trace, form or notice."""
-    body = html.unescape(MARKUP.sub("\n", text))
-    marked = body != text
+    marked = MARKUP.search(text) is not None
+    body = html.unescape(MARKUP.sub("\n", text)) if marked else text
     lines = [x for x in (ln.rstrip() for ln in body.split("\n")) if x.strip()]
     if not lines:
         return "page" if marked else None
+    if max(map(len, lines)) > 400:  # a paragraph: no notice, form or trace has one
+        return None
     if len(lines) <= 60 and sum(bool(TRACE.match(ln)) for ln in lines) >= max(1, len(lines) - 1) and any(re.match(r"\s*(?:at |file )", ln, re.I) or len(lines) <= 2 for ln in lines):
         return "trace"
     lines = [ln.strip() for ln in lines]
