@@ -59,10 +59,10 @@ def groups_of(active: DataFrame) -> DataFrame:
     return keyed.unionByName(standin)
 
 
-def judged_values(members: DataFrame, claims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(g, field, value, p): probability that each value claimed in a group is true.
+def judged_values(members: DataFrame, claims: DataFrame, rounds: int = ROUNDS, value: tuple[str, ...] = ("field", "value")) -> DataFrame:
+    """(g, *value, p): probability that each value claimed in a group is true.
 
-    members: (g, id, source); claims: (g, id, source, field, value), each a value a row lists. A row that
+    members: (g, source), a row each; claims: (g, source, *value), each a value a row lists. A row that
     doesn't list a value speaks against it. What all rows of a group say by silence is one sum per group, and
     each claim corrects it, so a round costs as much as there are claims, however large a group is.
     """
@@ -74,15 +74,15 @@ def judged_values(members: DataFrame, claims: DataFrame, rounds: int = ROUNDS) -
         silence = F.log((1 - F.col("a")) / F.col("b"))
         voice = F.log(F.col("a") / (1 - F.col("b")))
         base = members.join(sent, "source").groupBy("g").agg(F.sum(silence).alias("base"), F.count(F.lit(1)).alias("_n"))
-        lifted = claims.join(sent, "source").groupBy("g", "field", "value").agg(F.sum(voice - silence).alias("lift"), F.count(F.lit(1)).alias("_claims"))
+        lifted = claims.join(sent, "source").groupBy("g", *value).agg(F.sum(voice - silence).alias("lift"), F.count(F.lit(1)).alias("_claims"))
         logit = F.lit(float(PRIOR / (1 - PRIOR))).alias("x")
         odds = F.log(logit) + F.col("base") + F.col("lift")
-        values = lifted.join(base.select("g", "base"), "g").select("g", "field", "value", "_claims", (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))).alias("p"))
+        values = lifted.join(base.select("g", "base"), "g").select("g", *value, "_claims", (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))).alias("p"))
         if k == rounds:
             break
         values = durable(values)
         per_group = values.groupBy("g").agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f"), F.sum("_claims").alias("_c"))
-        said = claims.join(values, ["g", "field", "value"]).groupBy("source").agg(F.sum("p").alias("hit"), F.sum(1 - F.col("p")).alias("false"))
+        said = claims.join(values, ["g", *value]).groupBy("source").agg(F.sum("p").alias("hit"), F.sum(1 - F.col("p")).alias("false"))
         could = members.join(per_group, "g").groupBy("source").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
         clip = lambda c: F.greatest(F.least(c, F.lit(0.98)), F.lit(0.02))
         hit, false = F.coalesce("hit", F.lit(0.0)), F.coalesce("false", F.lit(0.0))
@@ -111,16 +111,20 @@ def survivors(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     grouped = groups_of(active)
     sized = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("group_id")).where("n_rows > 1")
-    members = durable(attach(grouped, sized, ["g"], "n_rows").join(active.drop("content_key", "_standin"), "id"))
+    members = durable(attach(grouped, sized, ["g"], "n_rows").join(active.drop("content_key", "_standin"), "id").withColumn("_g", F.xxhash64("g")).drop("g"))
     lists = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.array_distinct(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull() & is_name(x))).alias("vs")) for c in CREWS)))
-    claims = durable(members.select("g", "id", "source", lists.alias("l")).select("g", "id", "source", "l.field", F.explode("l.vs").alias("value")))
-    values = durable(judged_values(members.select("g", "id", "source"), claims, rounds))
-    trust = claims.join(values, ["g", "field", "value"]).groupBy("g", "id").agg(F.avg("p").alias("trust"))
+    listed = members.select("_g", "id", F.xxhash64("source").alias("source"), lists.alias("l")).select("_g", "id", "source", "l.field", F.explode("l.vs").alias("value"))
+    # the rounds run on 64-bit names of groups, values and sources; the texts come back at the end
+    claims = durable(listed.select(F.col("_g").alias("g"), "id", "source", F.xxhash64("field", "value").alias("v")))
+    values = durable(judged_values(members.select(F.col("_g").alias("g"), F.xxhash64("source").alias("source")), claims.select("g", "source", "v"), rounds, ("v",)))
+    trust = claims.join(values, ["g", "v"]).groupBy("g", "id").agg(F.avg("p").alias("trust"))
+    members = members.withColumnRenamed("_g", "g")
     scored = members.join(trust, ["g", "id"], "left")
     rank = F.struct("known", F.size("_names").alias("n"), "created_at", F.coalesce("trust", F.lit(0.0)).alias("t"), (-F.col("id")).alias("i"))
     scalar = ["match_name", "date_text", "time_text", "venue", "category"]
     newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("known", "created_at", "id"))).alias(c)
     kept = scored.groupBy("g").agg(F.min("id").alias("group_id"), F.max_by("id", rank).alias("survivor_id"), F.count(F.lit(1)).alias("n_rows"), *(newest(c) for c in scalar))
-    true = values.where(F.col("p") >= TRUE_FROM).groupBy("g").agg(*(F.sort_array(F.collect_set(F.when(F.col("field") == c, F.col("value")))).alias(c) for c in CREWS))
+    told = listed.select(F.col("_g").alias("g"), "field", "value", F.xxhash64("field", "value").alias("v")).join(values.where(F.col("p") >= TRUE_FROM).select("g", "v"), ["g", "v"], "left_semi")
+    true = told.groupBy("g").agg(*(F.sort_array(F.collect_set(F.when(F.col("field") == c, F.col("value")))).alias(c) for c in CREWS))
     empty = F.array().cast("array<string>")
     return kept.join(true, "g", "left").select("group_id", "survivor_id", "n_rows", *scalar, *(F.coalesce(c, empty).alias(c) for c in CREWS))
