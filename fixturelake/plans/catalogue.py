@@ -273,7 +273,7 @@ def q30_multiset_diff(spark, d):
 def _states(spark, d):
     extra = [F.array().cast("array<string>").alias(c) for c in keys.CREWS[2:]]
     a, b = (_snapshot(spark, d, last).select("content_key", F.struct(*TEXTS, "category", F.lit(None).cast("string").alias("league_type"), F.lit(None).cast("string").alias("sub_category"), "referees", "table_officials", *extra).alias(n)) for last, n in ((False, "o"), (True, "n")))
-    return a.join(b, "content_key")
+    return a.join(b, "content_key").where(~F.col("o").eqNullSafe(F.col("n")))  # equal states have nothing to tell
 
 
 def q31_change_lines(spark, d):
