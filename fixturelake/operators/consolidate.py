@@ -13,6 +13,7 @@ from fixturelake.functions.keys import content_key, crew_size, everyone, is_name
 from fixturelake.functions.text import has_letter, is_placeholder
 from fixturelake.operators.merge import partition_diff
 from fixturelake.operators.outcomes import listed_in
+from fixturelake.session import broadcast_checked
 
 
 def active(rows: DataFrame) -> DataFrame:
@@ -100,11 +101,8 @@ def slot_moves(rows: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def renamed_moves(assignments: DataFrame, pairs: DataFrame) -> DataFrame:
-    """assignments moved along a curated list of (from_id, to_id), which is checked to be short and broadcast."""
-    listed = pairs.limit(10_001)
-    if listed.count() > 10_000:
-        raise ValueError("a curated list has at most 10,000 pairs")
-    p = F.broadcast(listed.select(F.col("from_id").alias("match_id"), "to_id"))
+    """assignments moved along a list of (from_id, to_id), one pair a from_id; a short list is broadcast, a longer one joined by shuffle."""
+    p = broadcast_checked(pairs.select(F.col("from_id").alias("match_id"), "to_id"), 10_000)
     return assignments.join(p, "match_id", "left").withColumn("match_id", F.coalesce("to_id", "match_id")).select(*assignments.columns)
 
 

@@ -453,8 +453,8 @@ def q54_group_cancels(spark, d):
 
 def q55_renamed_moves(spark, d):
     pairs = consolidate.wrongly_cancelled(_rows(spark, d), read_table(spark, d, "assignments"))
-    curated = pairs.groupBy(F.col("from_row_id").alias("from_id")).agg(F.min("to_row_id").alias("to_id")).orderBy("from_id").limit(5)
-    return consolidate.renamed_moves(read_table(spark, d, "assignments"), curated).select("id", "match_id")
+    listed = pairs.groupBy(F.col("from_row_id").alias("from_id")).agg(F.min("to_row_id").alias("to_id"))
+    return consolidate.renamed_moves(read_table(spark, d, "assignments"), listed).select("id", "match_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

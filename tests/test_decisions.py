@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixturelake.operators import consolidate, notices, outbox, outcomes
+from fixturelake.plans import catalogue
 
 NOW = datetime(2025, 11, 1, 12)
 T = [datetime(2025, 1, d) for d in range(1, 9)]
@@ -186,3 +187,17 @@ def test_delivery(spark):
     users = spark.createDataFrame([(5, "denied"), (6, "granted")], "id long, push_permission string")
     wanted = spark.createDataFrame([(i,) for i in range(1, 7)], "user_id long")
     assert {x.user_id: x.status for x in outbox.delivery_rows(wanted, r, users).collect()} == {1: "DELIVERED", 2: "TRANSIENT_FAIL", 3: "PERMANENT_FAIL", 4: "TRANSIENT_FAIL", 5: "PERMISSION_DENIED", 6: "NO_TOKEN"}
+
+
+def test_every_wrongly_cancelled_row_is_moved(spark, tmp_path):
+    n = 12
+    dead = [{"id": i, "content_key": f"k{i}", "cancelled_at": T[0]} for i in range(n)]
+    frame(spark, ROW, *dead, *({"id": 100 + i, "content_key": f"k{i}", "created_at": T[0]} for i in range(n))).write.parquet(f"{tmp_path}/match_rows.parquet")
+    frame(spark, ASSIGNED, *({"id": i, "user_id": i, "match_id": i} for i in range(n))).write.parquet(f"{tmp_path}/assignments.parquet")
+    assert {r.id: r.match_id for r in catalogue.q55_renamed_moves(spark, str(tmp_path)).collect()} == {i: 100 + i for i in range(n)}
+
+
+def test_renamed_moves_take_a_list_beyond_the_broadcast_bound(spark):
+    a = spark.range(10_005).select("id", F.col("id").alias("match_id"))
+    moved = consolidate.renamed_moves(a, spark.range(10_002).select(F.col("id").alias("from_id"), (F.col("id") + 50_000).alias("to_id")))
+    assert moved.where("match_id = id + 50000").count() == 10_002 and moved.count() == 10_005
