@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from fixturelake.session import broadcast_checked
 
-#: A name counts as a template variable when it stands inside strong delimiters this often in the corpus.
-NAME_COUNT = 2
+#: A name inside weak delimiters is a template variable when it stands inside strong ones this often in the corpus.
+NAME_COUNT = 1
 #: Identical masked short pages from this many records on are one template.
 PAGE_COUNT = 2
 #: A page of a template has at most so many letters; longer texts are content.
@@ -177,9 +177,9 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, reason): texts that are residue of a template, filler, an error or script notice, an empty form or a trace.
 
     First pass over all texts: the names inside delimiters that only templates use, and the masks of short pages,
-    each counted in one aggregation. A name seen often enough is a variable of the corpus's templates; a text is
-    flagged when a slot still holds such a name in any delimiter (unless it is quoted as a name), when a slot
-    kept a default two or more times side by side, or when filler runs through it. A short page is flagged when
+    each counted in one aggregation. A text is flagged when a slot in strong delimiters still holds a name (unless
+    it is quoted as a name), whatever else the corpus holds, when one in weak delimiters holds a name the corpus
+    has in strong ones, when a slot kept a default two or more times side by side, or when filler runs through it. A short page is flagged when
     all of it words an error, access, session or script notice, an empty form or a trace; the wording must fill
     the page, so that content speaking of such things stays. A page repeated word for word but for its numbers
     needs only some of that wording. Null, empty and blank texts are never flagged; texts are read whole.
@@ -221,11 +221,10 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
                 elif kind := whole_page(s):
                     add(i, kind)
                 else:
-                    strong = names_in(s, STRONG)
-                    if any("_" in n or "." in n for n in strong):
+                    if names_in(s, STRONG):
                         add(i, "slot")
                         continue
-                    for n in strong | names_in(s, WEAK):
+                    for n in names_in(s, WEAK):
                         add(i, "slot", n)
                     if len(t) <= 2 * PAGE_CHARS and (m := page_mask(t)) and PAGE.search(m):
                         covered = sum(len(x[0]) for x in PAGE.finditer(m))

@@ -35,6 +35,13 @@ def test_an_empty_table_and_a_very_long_text(rows):
     assert residue(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_one_strong_placeholder_is_enough(rows):
+    docs = ["Top ${TARIH} elinde kaldı.", f"{REAL} Salon <tarih> kapalı.", f"{REAL} {{{{crew}}}}", f"{REAL} [nöbetçi] yazıldı.", "Şablondaki '${saat}' alanı doluyor.", f"{REAL} <saat> işareti."]
+    df = rows("doc_id long, text string", *({"doc_id": i, "text": t} for i, t in enumerate(docs)))
+    assert {r.doc_id for r in residue(df, "doc_id", "text").collect()} == {0, 1, 2}
+    assert {r.doc_id for r in residue(df.where("doc_id = 2"), "doc_id", "text").collect()} == {2}
+
+
 @pytest.mark.parametrize("line", ["15-15-15 sona erdi", "yok, yok dediler", "A - A"])
 def test_ordinary_repeats(line):
     assert not filler(line) and not default_slots(line) and whole_page(line) is None
