@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from itertools import combinations
 
 _PLAIN = str.maketrans({"ı": "i", "ß": "ss", "æ": "ae", "ø": "o", "đ": "d", "ł": "l"})
@@ -53,7 +54,9 @@ def distance(a: str, b: str, most: int) -> int:
 class NearWords:
     """Words within a small edit distance: two words that near share a form with few characters left out."""
 
-    def __init__(self, words: set[str], most: int = 2):
+    def __init__(self, words: set[str], most: int = 2, reach: Callable[[int], int] | None = None):
+        """reach: letters left out of a word by its length, on both sides; with it, near finds all words within the reach of both."""
+        self.reach = reach
         self.most, self.words, self.longest = most, frozenset(words), max(map(len, words), default=0)
         self.index: dict[str, list[str]] = {}
         for w in sorted(words):
@@ -62,13 +65,13 @@ class NearWords:
         self._seen: dict[tuple[str, int], list[tuple[int, str]]] = {}
 
     def _reach(self, word: str) -> int:
-        return min(self.most, max(0, (len(word) - 1) // 3))
+        return min(self.most, self.reach(len(word)) if self.reach else max(0, (len(word) - 1) // 3))
 
     def near(self, word: str, most: int) -> list[tuple[int, str]]:
         """(distance, word) of all words within ``most`` edits, nearest first."""
         if len(word) > self.longest + most:
             return []
-        most = min(most, self.most, self._reach(word) + 1)
+        most = min(most, self.most, self._reach(word) + (self.reach is None))
         key = (word, most)
         if (hit := self._seen.get(key)) is not None:
             return hit
@@ -78,3 +81,31 @@ class NearWords:
             self._seen.clear()
         self._seen[key] = out
         return out
+
+
+class NearPieces:
+    """Long words within ``most`` edits, by pieces: an edit touches two neighbouring pieces at most, so of 2 * most + 1 one stays whole."""
+
+    def __init__(self, words: set[str], most: int):
+        self.most = most
+        self.index: dict[tuple[int, int, str], list[str]] = {}
+        self.sizes: dict[int, list[tuple[int, int]]] = {}
+        for w in sorted(words):
+            for k, (a, b) in enumerate(self._cuts(len(w))):
+                self.index.setdefault((len(w), k, w[a:b]), []).append(w)
+
+    def _cuts(self, n: int) -> list[tuple[int, int]]:
+        if n not in self.sizes:
+            k = 2 * self.most + 1
+            self.sizes[n] = [(n * i // k, n * (i + 1) // k) for i in range(k)]
+        return self.sizes[n]
+
+    def near(self, word: str) -> list[str]:
+        """All words within ``most`` edits."""
+        found: set[str] = set()
+        for n in range(max(1, len(word) - self.most), len(word) + self.most + 1):
+            if n in self.sizes:
+                for k, (a, b) in enumerate(self._cuts(n)):
+                    for at in range(max(0, a - self.most), a + self.most + 1):
+                        found.update(self.index.get((n, k, word[at : at + b - a]), ()))
+        return sorted(x for x in found if distance(word, x, self.most) <= self.most)

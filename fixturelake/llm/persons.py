@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixturelake.llm.charforms import unify_strings
-from fixturelake.llm.nearwords import NearWords, bare, distance
+from fixturelake.llm.nearwords import NearPieces, NearWords, bare, distance
 from fixturelake.operators.skew import attach
 from fixturelake.session import durable
 
 #: Accounts held in one worker's index at a time; more are matched block by block.
-BLOCK_ACCOUNTS = 200_000
+BLOCK_ACCOUNTS = 50_000
 
 # Words beside a name that are no part of it.
 TITLES = {"hk", "hakem", "ulusal", "bolge", "il", "sn", "sayin", "aday", "yedek", "uluslararasi", "fiba", "klasman", "hanim", "yrd"}
@@ -29,6 +29,8 @@ NICK_ENDS = ("os", "us", "is", "as", "ti", "to", "o", "s", "i", "u", "cik", "can
 
 #: Costs: an initial, an abbreviation, a nickname, one edit; a given name or surname part left out; a part joined or cut apart.
 INITIAL, SHORT, NICK, EDIT, LEFT_GIVEN, LEFT_LAST, JOIN = 0.30, 0.30, 0.45, 0.50, 0.20, 0.20, 0.10
+#: Edits within which a word is a given name and surname written as one.
+JOINED_EDITS = 2
 #: Beyond this total a cell means nobody; the next person must cost so much more, or the cell is left open.
 MOST, GAP, GAP_SHORT = 2.3, 0.12, 0.25
 
@@ -115,24 +117,24 @@ class People:
                 lasts[w].append(i)
             for w in given:
                 by[w].append(i)
-            for g in ("".join(given), given[0]):
-                for x in ("".join(last), last[0]):
-                    whole[g + x].append(i)
-                    whole[x + g].append(i)
+            firsts = {"".join(given[: k + 1]) for k in range(len(given))} | set(given)
+            for joined in {y for g in firsts for x in ("".join(last), last[0]) for y in (g + x, x + g)}:
+                whole[joined].append(i)
         self.lasts, self.whole = lasts, whole
-        self.near_last = NearWords(set(lasts), 2)
-        self.near_whole = NearWords(set(whole), 1)
+        self.near_last = NearWords(set(lasts), 3, edits_allowed)
+        self.near_whole = NearPieces(set(whole), JOINED_EDITS)
         self.known = set(by) | {w for w in lasts if len(w) >= 5}
 
     def candidates(self, words: list[tuple[str, bool]]) -> set[int]:
         out: set[int] = set()
         plain = [w for w, _ in words]
         for w in [*plain, *(a + b for a, b in zip(plain, plain[1:]))]:
-            if len(w) >= 4:
-                for _, x in self.near_last.near(w, 2 if len(w) >= 6 else 1):
-                    out.update(self.lasts[x])
-        for w in {"".join(plain), *(p for p in plain if len(p) >= 9)}:
-            for _, x in self.near_whole.near(w, 1):
+            if len(w) >= 3:
+                for d, x in self.near_last.near(w, edits_allowed(len(w))):
+                    if d <= edits_allowed(min(len(w), len(x))):
+                        out.update(self.lasts[x])
+        for w in {"".join(plain), *(p for p in plain if len(p) >= 9), *(a + b for a, b in zip(plain, plain[1:]) if len(a + b) >= 9)}:
+            for x in self.near_whole.near(w):
                 out.update(self.whole[x])
         return out
 
@@ -182,8 +184,8 @@ class People:
                 rest = words[:k] + words[k + 1 :]
                 for g in range(len(given)):
                     for joined in {"".join(given[: g + 1]) + last[0], given[g] + last[0], "".join(given[: g + 1]) + "".join(last), last[0] + given[g]}:
-                        d = distance(w, joined, 2)
-                        if d <= 2:
+                        d = distance(w, joined, JOINED_EDITS)
+                        if d <= JOINED_EDITS:
                             others = [n for n in given if n not in joined] + [n for n in last if n not in joined]
                             if not rest:
                                 best = min(best, JOIN + EDIT * d + LEFT_GIVEN * len(others))

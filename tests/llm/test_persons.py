@@ -2,8 +2,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fixturelake.llm.nearwords import NearWords, distance
-from fixturelake.llm.persons import People, resolve_cells, same_accounts
+from fixturelake.llm.nearwords import NearPieces, NearWords, distance
+from fixturelake.llm.persons import People, edits_allowed, resolve_cells, same_accounts, words_of
 from fixturelake.session import shared_dir
 
 PEOPLE = [
@@ -48,6 +48,37 @@ def test_index_misses_no_near_word(words, w):
     assert {x for _, x in NearWords(words, 2).near(w, 2)} == {x for x in words if distance(w, x, 2) <= 2}
 
 
+@given(st.sets(st.text("abc", min_size=1, max_size=11), max_size=12), st.text("abc", min_size=1, max_size=11))
+@settings(max_examples=300, deadline=None)
+def test_pieces_miss_no_near_word(words, w):
+    assert set(NearPieces(words, 2).near(w)) == {x for x in words if distance(w, x, 2) <= 2}
+
+
+LONG = [(1, "Necmettin", "Zeybelzorbilek"), (2, "Vildan", "Nergüzpınarsoy"), (3, "Rüya", "Kısabacak"), (4, "Ömer", "Taşan"), (5, "Ali Can", "Uzun Çamlıdere")]
+
+
+@pytest.mark.parametrize("cell,who", [("Necmettin Zeylbzorbilek", [1]), ("VİLDAN NERGÜZPINAORY", [2]), ("rüyakısbaçk", [3]), ("canuzn", [])])
+def test_candidates_as_far_as_the_scorer(cell, who):
+    assert People(LONG, {}).who(cell) == who
+
+
+@given(st.sampled_from(LONG), st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["", "x", "ab"])), max_size=3), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_candidates_against_brute_force(person, edits, cut):
+    people = People(LONG, {})
+    cell = f"{person[1]} {person[2]}" if cut else (person[1] + person[2]).replace(" ", "")
+    for at, new in edits:
+        cell = cell[: at % len(cell)] + new + cell[at % len(cell) + 1 :]
+    words = words_of(cell)
+    plain = [w for w, _ in words]
+    near = lambda w, n: len(w) >= 3 and distance(w, n, 3) <= edits_allowed(min(len(w), len(n)))
+    want = {i for i, (_, _, last) in enumerate(people.forms) if any(near(w, n) for w in [*plain, *(a + b for a, b in zip(plain, plain[1:]))] for n in (*last, "".join(last)))}
+    got = people.candidates(words)
+    assert want <= got
+    joined = lambda g, x: {y for k in range(len(g)) for f in (g[k], "".join(g[: k + 1])) for y in (f + x[0], f + "".join(x), x[0] + f)}
+    assert {i for i, (_, g, x) in enumerate(people.forms) for w in plain if len(w) >= 9 and any(distance(w, j, 2) <= 2 for j in joined(g, x))} <= got
+
+
 def test_same_accounts(spark):
     shared_dir(spark)
     df = spark.createDataFrame([(*p, "x") for p in PEOPLE], "user_id long, first_name string, last_name string, key string")
