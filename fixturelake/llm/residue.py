@@ -21,7 +21,10 @@ NAME_COUNT = 1
 #: Identical masked short pages from this many records on are one template.
 PAGE_COUNT = 2
 #: A page of a template has at most so many letters; longer texts are content.
-PAGE_CHARS = 300
+PAGE_CHARS = 700
+
+#: Share of lines from which a text is a trace or an empty form.
+SHARE = 0.8
 
 _NAME = r"[A-Za-z_ÇĞİÖŞÜçğıöşü][\w.]{0,40}"
 # Delimiters of template languages that ordinary text doesn't use ...
@@ -62,7 +65,7 @@ PAGES = [
 PAGE = re.compile("|".join(f"(?:{p})" for p in PAGES), re.I)
 #: Lines that accompany such a page, or stand in an empty form.
 SIDE = re.compile(
-    r"^(?:(?:request|trace|error|ray|incident)[ -]?(?:id|no|code)\b.*|referans\w*:? ?\w*\d\w*|ref\.? ?\w*\d\w*|\(?(?:kod|code|no)\.? ?:?\d+\)?|[«‹<←]\s*\w+[ \w]*|geri dön|go back|\(?sayfa \d+/\d+\)?|page \d+ ?(?:/|of) ?\d+|\W*\d*\W*|[0-9a-f-]{16,}|"
+    r"^(?:(?:request|trace|error|ray|incident)[ -]?(?:id|no|code)\b.*|referans\w*:? ?\w*\d\w*|ref\.? ?\w*\d\w*|\(?(?:kod|code|no)\.? ?:?\d+\)?|[«‹<←]\s*+\w[ \w]*+|geri dön|go back|\(?sayfa \d+/\d+\)?|page \d+ ?(?:/|of) ?\d+|\W*+(?:\d++\W*+)?|[0-9a-f-]{16,}|"
     r"(?:internal )?server error|not found|hata|error|fehler|uyarı|warning|[45]\d\d\b.{0,30})$",
     re.I,
 )
@@ -74,8 +77,9 @@ INVITE = re.compile(
     r"(?:hier|ihr) (?:ihren )?text|insert (?:text|title|content)|^(?:sub)?title$|^alt başlık$",
     re.I,
 )
-TODO = re.compile(r"^\W*(?:todo|tbd|fixme|xxx)\b\W*\w*\W*$", re.I)
-BLANK = re.compile(r"^[^:\n.…_]{0,40}:?\s*(?:(?:\.{3,}|_{3,}|…+|-{3,}|\[\s*\])[\s/·,:-]*)+$")
+TODO = re.compile(r"^\W*(?:todo|tbd|fixme|xxx)\b\W*+(?:\w++\W*+)?$", re.I)
+BLANK = re.compile(r"^[^:\n.…_]{0,40}:?\s*(?:(?:\.{3,}+|_{3,}+|…++|-{3,}+|\[\s*\])[\s/·,:-]*+)++$")
+FILLED = re.compile(r"[^:\n]{1,40}:\s*\w")
 FIELD = re.compile(r"^[<\[][^<>\[\]\n]{2,40}[>\]](?:\s*[-/·,]\s*[<\[][^<>\[\]\n]{2,40}[>\]])*$")
 REPEAT = re.compile(r"(?<!\w)((?:[^\W\d_]+ ){0,3}[^\W\d_]+)[.,;:!]*\s+(?:\1[.,;:!]*\s+){2,}\1(?!\w)", re.I)
 QUOTED = {"'": "'", '"': '"', "‘": "’", "“": "”", "`": "`"}
@@ -132,7 +136,7 @@ def filler(text: str) -> bool:
     """Whether the text holds filler: a run of filler Latin, or one short phrase said over and over."""
     low = text.replace("İ", "i").replace("I", "ı").lower().replace("ı", "i")
     words = _WORD.findall(low)
-    if len(LOREM.intersection(words)) >= 3:
+    if not LOREM.isdisjoint(words):
         run = 0
         for w in words:
             run = run + 1 if w in LOREM else 0
@@ -144,22 +148,35 @@ def filler(text: str) -> bool:
     return False
 
 
+def untraced(lines: list[str]) -> list[str]:
+    """Lines that don't belong to a trace: neither its own, nor the source line under a frame's place, nor lines of left-out frames."""
+    out, place = [], False
+    for ln in lines:
+        own = TRACE.match(ln) is not None
+        if not (own or place and ln[:1].isspace() or re.match(r"\s*(?:\.\.\. \d+ (?:more|common)|[~^]+$)", ln)):
+            out.append(ln)
+        place = own and re.match(r"\s*file ", ln, re.I) is not None
+    return out
+
+
 def whole_page(text: str) -> str | None:
     """What kind of page the whole text is, when it is one instead of content: trace, form or notice."""
-    marked = MARKUP.search(text) is not None
-    body = html.unescape(MARKUP.sub("\n", text)) if marked else text
+    body = html.unescape(MARKUP.sub("\n", text)) if "<" in text or "&" in text else text
+    marked = body != text
     lines = [x for x in (ln.rstrip() for ln in body.split("\n")) if x.strip()]
     if not lines:
         return "page" if marked else None
-    if max(map(len, lines)) > 400:  # a paragraph: no notice, form or trace has one
-        return None
-    if len(lines) <= 60 and sum(bool(TRACE.match(ln)) for ln in lines) >= max(1, len(lines) - 1) and any(re.match(r"\s*(?:at |file )", ln, re.I) or len(lines) <= 2 for ln in lines):
+    strange = untraced(lines)
+    hits = len(lines) - len(strange)
+    if (hits >= SHARE * len(lines) or hits >= max(1, len(lines) - 1) and len(strange[0]) <= 400) and any(re.match(r"\s*(?:at |file )", ln, re.I) or len(lines) <= 2 for ln in lines):
         return "trace"
     lines = [ln.strip() for ln in lines]
     left = [ln for ln in lines if not SIDE.match(ln)]
     if not left:
         return "page" if marked or any(re.search(r"\b[45]\d\d\b|error|hata", ln, re.I) for ln in lines) else None
-    if all(BLANK.match(ln) or FIELD.match(ln) or TODO.match(ln) or INVITE.search(ln) and len(ln) <= 60 for ln in left):
+    other = [ln for ln in left if not (BLANK.match(ln) or FIELD.match(ln) or TODO.match(ln) or len(ln) <= 60 and INVITE.search(ln))]
+    # headings and instructions may stand among the fields, filled fields may not
+    if len(left) - len(other) >= SHARE * len(left) and not any(FILLED.match(ln) for ln in other):
         if any(any(c.isalnum() for c in ln) for ln in left) and (len(left) >= 2 or not BLANK.match(left[0])):
             return "form"
     if all(re.fullmatch(r"\W*(?:#\w+[!?/]?\w*[!?]?)\W*(?:[-/·,]\W*#\w+[!?/]?\w*[!?]?\W*)*", ln) for ln in left):
@@ -192,9 +209,10 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
             for t in b.column(0).to_pylist():
                 if not t:
                     continue
-                if any(c in t for c in "{@<[$#"):
-                    names.update(names_in(plain(t), STRONG))
-                if len(t) <= 2 * PAGE_CHARS and (m := page_mask(t)) and PAGE.search(m):
+                s = plain(t)
+                if any(c in s for c in "{@<[$#"):
+                    names.update(names_in(s, STRONG))
+                if len(s.strip()) <= PAGE_CHARS and (m := page_mask(s)) and PAGE.search(m):
                     pages[m] += 1
             rows = [("name", k, n) for k, n in names.items()] + [("page", k, n) for k, n in pages.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "what", "n"])
@@ -226,7 +244,7 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
                         continue
                     for n in names_in(s, WEAK):
                         add(i, "slot", n)
-                    if len(t) <= 2 * PAGE_CHARS and (m := page_mask(t)) and PAGE.search(m):
+                    if len(s.strip()) <= PAGE_CHARS and (m := page_mask(s)) and PAGE.search(m):
                         covered = sum(len(x[0]) for x in PAGE.finditer(m))
                         if covered >= 0.3 * len(m):
                             add(i, "page", None, m)

@@ -1,6 +1,6 @@
 import pytest
 
-from fixturelake.llm.residue import default_slots, filler, residue, whole_page
+from fixturelake.llm.residue import default_slots, filler, page_mask, residue, whole_page
 
 REAL = "Maçın sonucu 51 - 8; teknik faul yok, sakatlık bir. Takım listeleri %56 oranında tamam, kalanlar yarına."
 BAD = {
@@ -42,6 +42,21 @@ def test_one_strong_placeholder_is_enough(rows):
     assert {r.doc_id for r in residue(df.where("doc_id = 2"), "doc_id", "text").collect()} == {2}
 
 
+@pytest.mark.parametrize("text,kind", [
+    ("Error: " + "x y " * 150 + "\n    at run (job.js:9:7)", "trace"), ("Exception in thread main\n" + "\n".join(f"    at a.b{i} (c.js:{i}:1)" for i in range(90)), "trace"),
+    ("Traceback (most recent call last):\n" + "  File \"a.py\", line 3, in f\n    return g(x)\n" * 40 + "ValueError: bad", "trace"),
+    ("MAÇ: " + "." * 500 + "\nSALON: ......\nSAAT: ......", "form"), ("Bu form maçtan sonra doldurulur. " * 15 + "\nMAÇ: .....\nSALON: .....\nSAAT: .....\nSKOR: .....", "form"),
+    ("MAÇ: A - B\nSALON: .....\nSAAT: .....\nSKOR: .....\nNOT: .....", None), ("Giriş " + "." * 200 + " 5", None), ("Sayfa bulunamadı &mdash; 404", "page"), ((REAL + " ") * 9 + "\nError: bad\n    at run (job.js:9:7)", None),
+])
+def test_long_pages(text, kind):
+    assert whole_page(text) == kind
+
+
+def test_masks_of_ordinary_length():
+    page = "Hata 503: sunucu yanıt vermedi, tekrar deneyin. " + "Sunucu hatası 503, yeniden deneyin. " * 2 + "Kayıt no {0} tutuldu, destek ekibi konuyu bugün inceleyecek ve sonucu bildirecek. " * 3
+    assert 300 < len(page) <= 700 and page_mask(page.format(101)) == page_mask(page.format(102)) is not None
+
+
 @pytest.mark.parametrize("line", ["15-15-15 sona erdi", "yok, yok dediler", "A - A"])
 def test_ordinary_repeats(line):
     assert not filler(line) and not default_slots(line) and whole_page(line) is None
