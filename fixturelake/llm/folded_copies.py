@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import cmp_to_key, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fixturelake.llm.links import components
 from fixturelake.operators.skew import attach
+from fixturelake.session import durable
 
 SKIP, BREAK = 0, 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -120,20 +121,40 @@ def same_two_pointers(a: str | None, b: str | None) -> bool:
         i, j = i + 1, j + 1
 
 
-def folded_words(s: str, letters_apart: bool = False) -> list[str]:
-    """The folded words of a text in order of the alphabet; built only to verify, never to group."""
-    t = fold_table()
-    folded = "".join("" if t[ord(c)] == SKIP else " " if t[ord(c)] == BREAK else chr(t[ord(c)]) for c in s)
-    if not letters_apart:
-        return sorted(folded.split())
-    return sorted([*filter(None, ["".join(c for c in folded if "0" <= c <= "9")]), *"".join(" " if "0" <= c <= "9" else c for c in folded).split()])
+def word_places(s: str, letters_apart: bool = False) -> list[list[int]]:
+    """The places of each word's characters in the text; no folded text is built."""
+    t, words, digits, now = fold_table(), [], [], None
+    for i, c in enumerate(s):
+        f = t[ord(c)]
+        if f == SKIP:
+            continue
+        if f == BREAK:
+            now = None
+        elif letters_apart and 48 <= f <= 57:
+            digits.append(i)
+            now = None
+        else:
+            if now is None:
+                now = []
+                words.append(now)
+            now.append(i)
+    return [*words, digits] if digits else words
 
 
 def same_words(a: str | None, b: str | None, letters_apart: bool = False) -> bool:
-    """Whether two texts hold the same folded words in any order."""
+    """Whether two texts hold the same words in any order: words are put in order, then compared, by a pointer into each text."""
     if a is None or b is None:
         return a is b
-    return folded_words(a, letters_apart) == folded_words(b, letters_apart)
+    t = fold_table()
+
+    def compare(x: tuple[str, list[int]], y: tuple[str, list[int]]) -> int:
+        for i, j in zip(x[1], y[1]):
+            if (p := int(t[ord(x[0][i])])) != (q := int(t[ord(y[0][j])])):
+                return p - q
+        return len(x[1]) - len(y[1])
+
+    one, two = (sorted(((s, w) for w in word_places(s, letters_apart)), key=cmp_to_key(compare)) for s in (a, b))
+    return len(one) == len(two) and not any(compare(x, y) for x, y in zip(one, two))
 
 
 def flags(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -145,26 +166,45 @@ def flags(df: DataFrame, columns: list[str]) -> list[Column]:
     return parts
 
 
+def agree(texts: list[str], times: tuple[str, ...]):
+    """A vectorised test of texts against a leader's: per text, its words in any order (1), its characters in order (0), or both (2)."""
+
+    def same(way: int, a: str | None, b: str | None, apart: bool) -> bool:
+        return a == b or (way == 1 or same_two_pointers(a, b)) and (way == 0 or same_words(a, b, apart))
+
+    @F.pandas_udf("boolean")
+    def check(ways: pd.Series, *c: pd.Series) -> pd.Series:
+        half = len(c) // 2
+        columns = [s.where(s.notna(), None).tolist() for s in c]
+        apart = [t in times for t in texts]
+        return pd.Series([all(same(int(w[k]), r[k], r[half + k], apart[k]) for k in range(half)) for w, r in zip(ways, zip(*columns))], dtype=bool)
+
+    return check
+
+
 def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, ...] = (), times: tuple[str, ...] = (), bits: int = 64) -> DataFrame:
     """(row, keep_id, n_copies): each row with the smallest ``row`` of its record and the record's number of rows.
 
-    Two rows are one record when all columns but ``row`` and ``ignore`` are equal (null equal to null), where
-    ``texts`` are compared without blanks, letter case, punctuation and the order of their parts. Rows first
-    shrink to one per distinct combination of hashes and kept text (pre-aggregated before the shuffle, so
-    a record holding a third of all rows is no burden); classes of equal hashes are then verified against
-    their first text by two pointers, or word by word where the order differs, and rows that
-    only share hashes are set apart by their folded words. Empty tables give none; empty and null texts differ.
+    Two rows are linked when all columns but ``row`` and ``ignore`` are equal (null equal to null) and each of
+    ``texts`` holds the same characters in order, or the same words in any order, blanks, letter case and
+    punctuation aside; a record is everything linked, over any number of steps. Rows are hashed once and shrink
+    to shapes (equal in all hashes) in one pre-aggregated shuffle. Rows of a shape written in several ways are
+    verified against its first row by two pointers; those that only share its hashes are named apart and judged
+    again. Shapes of equal characters meet under each choice of hashes, are verified likewise, and links spread
+    until nothing changes, so no order or chain of rows matters. Shapes, not rows, are paired, each with the first of its
+    class, so a record holding a third of all rows is no burden. Empty tables give none; empty and null texts differ.
     ``bits`` of each hash are kept (tests force collisions with few).
     """
+    n = len(texts)
     others = [c for c in df.columns if c not in {row, *texts, *ignore}]
     base = df.select(
         F.col(row).alias("_row"),
         F.xxhash64(F.lit(1), *flags(df, others)).alias("_o1"),
-        F.hash(F.lit(7), *flags(df, others)).alias("_o2"),
+        F.xxhash64(F.lit(7), *flags(df, others)).alias("_o2"),
         F.xxhash64(F.lit(3), *flags(df, texts)).alias("_x"),
         *(F.col(c).alias(f"_t{i}") for i, c in enumerate(texts)),
     )
-    hashes = [f"_{k}{i}" for i in range(len(texts)) for k in "swc"]
+    hashes = [f"_{k}{i}" for i in range(n) for k in "swc"]
     schema = T.StructType([*base.schema.fields, *(T.StructField(h, T.LongType(), False) for h in hashes)])
 
     def run(batches):
@@ -175,49 +215,55 @@ def group_copies(df: DataFrame, row: str, texts: list[str], ignore: tuple[str, .
                 cols += [pa.array(h >> (64 - bits) if bits < 64 else h) for h in made]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    hashed = base.mapInArrow(run, schema)
-    # one variant per text as written, so that each is verified; two words of 64 bits name it
-    keyed = hashed.withColumn("_v", F.xxhash64("_o1", "_o2", *hashes))
-    variants = keyed.groupBy("_v", "_x").agg(
-        F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in ("_o1", "_o2", *hashes)), *(F.first(f"_t{i}").alias(f"_t{i}") for i in range(len(texts))),
-    )
-    # all classes of a variant lie in its block of equal other columns and equal characters: one shuffle for every window
-    block = ["_o1", "_o2", *(f"_c{i}" for i in range(len(texts)))]
-    labelled = variants.repartition(*block).withColumn("_keep", F.col("_least"))
-    # a class is closed under equality of either hash of each text; every round takes the least row over one choice
-    for choice in [*range(2 ** len(texts)), 0]:
-        labelled = labelled.withColumn("_keep", F.min("_keep").over(W.partitionBy(*block, *(f"_{'ws'[choice >> i & 1]}{i}" for i in range(len(texts))))))
-    # each class of equal hashes is verified against its first text, by two pointers or word by word
-    shown = ["*"]
-    for k in "sw":
-        led = W.partitionBy(*block, *(f"_{k}{i}" for i in range(len(texts)))).orderBy("_least").rowsBetween(W.unboundedPreceding, W.currentRow)
-        shown += [F.first(f"_t{i}").over(led).alias(f"_f{k}{i}") for i in range(len(texts))]
-    led = labelled.select(*shown)
-
-    def agree(same):
-        @F.pandas_udf("boolean")
-        def check(*c: pd.Series) -> pd.Series:
-            half = len(c) // 2
-            none = lambda x: x if isinstance(x, str) else None
-            return pd.Series([all(a == b or same(none(a), none(b), texts[k] in times) for k, (a, b) in enumerate(zip(r[:half], r[half:]))) for r in zip(*(s.tolist() for s in c))], dtype=bool)
-
-        return check
-
-    own = [f"_t{i}" for i in range(len(texts))]
-    in_order = agree(lambda a, b, _: same_two_pointers(a, b))(*own, *(f"_fs{i}" for i in range(len(texts))))
-    any_order = agree(same_words)(*own, *(f"_fw{i}" for i in range(len(texts))))
-    checked = led.withColumn("_true", in_order & any_order)
-
-    @F.pandas_udf("string")
-    def set_apart(true: pd.Series, *c: pd.Series) -> pd.Series:
-        def one(r):
-            return repr([folded_words(x, texts[k] in times) if isinstance(x, str) else None for k, x in enumerate(r)])
-
-        return pd.Series([None if t else one(r) for t, r in zip(true, zip(*(s.tolist() for s in c)))], dtype=object)
-
-    checked = checked.withColumn("_apart", set_apart("_true", *own))
-    split = W.partitionBy(*block, "_keep", "_apart")
-    owned = checked.withColumn("_keep", F.when(F.col("_true"), F.col("_keep")).otherwise(F.min("_least").over(split)))
-    sized = owned.withColumn("_copies", F.sum("_n").over(W.partitionBy(*block, "_keep")))
-    kept = sized.select("_v", "_x", "_n", F.col("_keep").alias("keep_id"), F.col("_copies").alias("n_copies"))
-    return attach(keyed.select("_row", "_v", "_x"), kept, ["_v", "_x"], "_n").select(F.col("_row").alias(row), "keep_id", "n_copies")
+    order = [f"_{k}{i}" for i in range(n) for k in "sw"]
+    shape, own, led = ["_a", "_b"], [f"_t{i}" for i in range(n)], [f"_l.t{i}" for i in range(n)]
+    name = lambda *c: [F.xxhash64(F.lit(k), "_o1", "_o2", *c) for k in (11, 12)]
+    a, b = name(*order)
+    block = F.xxhash64("_o1", "_o2", *(f"_c{i}" for i in range(n)))
+    rows = durable(base.mapInArrow(run, schema).select("_row", a.alias("_a"), b.alias("_b"), "_x", block.alias("_block"), "_o1", "_o2", *order, *own))
+    texts_of = F.struct(*(F.col(f"_t{i}").alias(f"t{i}") for i in range(n)))
+    check = agree(texts, times)
+    both = F.array(*[F.lit(2)] * n)
+
+    again = 0
+    while True:
+        numbers = ("_block", "_o1", "_o2", *order)
+        shapes = durable(rows.groupBy(*shape).agg(
+            F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+            *(F.first(c).alias(c) for c in numbers), F.min_by(texts_of, "_row").alias("_l"),
+        ))
+        written = shapes.where("_lo <> _hi").select(*shape, "_n", "_l")
+        wrong = durable(attach(rows.select("_row", *shape, *own), written, shape, "_n").where(~check(both, *own, *led)).select("_row"))
+        if not wrong.limit(1).count():
+            break
+        again += 1
+        renamed = rows.join(wrong.withColumn("_wrong", F.lit(True)), "_row", "left")
+        rows = durable(renamed.withColumn("_a", F.when(F.col("_wrong"), F.xxhash64("_a", F.lit(again))).otherwise(F.col("_a"))).drop("_wrong"))
+
+    # shapes of one block meet under every choice of one hash for each text
+    blocks = shapes.groupBy("_block").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_block")
+    several = shapes.join(blocks, "_block", "left_semi")
+    choices = []
+    for choice in range(2**n):
+        k1, k2 = name(*(F.col(f"_{'sw'[choice >> i & 1]}{i}") for i in range(n)))
+        choices.append(F.struct(F.array(*(F.lit(choice >> i & 1) for i in range(n))).alias("ways"), F.xxhash64(F.lit(choice), k1).alias("k1"), k2.alias("k2")))
+    keyed = durable(several.select("_least", "_l", F.explode(F.array(*choices)).alias("_k")).select("_least", "_l", "_k.ways", "_k.k1", "_k.k2"))
+    edges = None
+    while True:
+        first = keyed.groupBy("k1", "k2").agg(F.min("_least").alias("_first"), F.count(F.lit(1)).alias("_m"), F.min_by("_l", "_least").alias("_f")).where("_m > 1")
+        met = attach(keyed, first, ["k1", "k2"], "_m").where("_least <> _first")
+        judged = durable(met.select("_least", "_first", "k1", "k2", check("ways", *led, *(f"_f.t{i}" for i in range(n))).alias("_true")))
+        found = judged.where("_true").select("_least", "_first")
+        edges = found if edges is None else edges.unionByName(found)
+        apart = judged.where("NOT _true").select("_least", "k1", "k2")
+        if not apart.limit(1).count():
+            break
+        keyed = durable(keyed.join(apart, ["_least", "k1", "k2"], "left_semi"))
+
+    least = components(edges, "_least", "_first").withColumnRenamed("node", "_least")
+    linked = least.join(shapes.select("_least", "_n"), "_least")
+    total = linked.groupBy("least").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_m"))
+    kept = attach(linked.select("_least", "least"), total, ["least"], "_m")
+    named = shapes.select(*shape, "_n", "_least").join(kept, "_least", "left")
+    owned = named.select(*shape, "_n", F.coalesce("least", "_least").alias("keep_id"), F.coalesce("_all", "_n").alias("n_copies"))
+    return attach(rows.select("_row", *shape), owned, shape, "_n").select(F.col("_row").alias(row), "keep_id", "n_copies")

@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,3 +46,40 @@ def test_collisions_are_found_out(rows):
     for bits in (64, 1):
         got = group_copies(df, "rec_id", ["name", "venue", "clock"], ("seen",), ("clock",), bits=bits).collect()
         assert {r.rec_id: (r.keep_id, r.n_copies) for r in got} == {1: (1, 2), 4: (1, 2), 2: (2, 2), 3: (2, 2), 5: (5, 1)}
+
+
+def linked(a, b, k):
+    return same_two_pointers(a, b) or same_words(a, b, k == 2)
+
+
+def brute_force(rows):
+    """{id: (least id, number)} of everything linked: rows are (id, name, venue, clock)."""
+    least = {r[0]: r[0] for r in rows}
+    moved = True
+    while moved:
+        moved = False
+        for x in rows:
+            for y in rows:
+                if least[y[0]] < least[x[0]] and all(linked(x[k + 1], y[k + 1], k) for k in range(3)):
+                    least[x[0]] = least[y[0]]
+                    moved = True
+    return {i: (k, list(least.values()).count(k)) for i, k in least.items()}
+
+
+def test_chains_join_in_any_order_of_rows(rows):
+    chain = ["ab c", "a bc", "bc a", "b ca", "ca b", "c ab"]
+    for ids in ([1, 2, 3, 4, 5, 6], [6, 2, 5, 1, 4, 3]):
+        for n in (5, 6):
+            df = rows(SCHEMA, *({"rec_id": i, "name": x} for i, x in list(zip(ids, chain))[:n]))
+            least = min(ids[:n])
+            assert groups(df) == dict.fromkeys(ids[:n], (least, n))
+
+
+def test_equal_to_brute_force_on_random_texts(rows):
+    rnd = random.Random(5)
+    one = lambda: rnd.choice([None, "".join(rnd.choice("ab -'I") for _ in range(rnd.randrange(6)))])
+    texts = [(i, one(), rnd.choice(["x y", "y x", "yx"]), rnd.choice(["1a2", "12 a", None])) for i in range(120)]
+    df = rows(SCHEMA, *({"rec_id": i, "name": a, "venue": b, "clock": c} for i, a, b, c in texts))
+    for bits in (64, 3):
+        got = group_copies(df, "rec_id", ["name", "venue", "clock"], ("seen",), ("clock",), bits=bits).collect()
+        assert {r.rec_id: (r.keep_id, r.n_copies) for r in got} == brute_force(texts)
