@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def row_hash(df: DataFrame, columns: list[str]) -> Column:
+def row_hash(df: DataFrame, columns: list[str], seed: int = 0) -> Column:
     """Hash of the values as they stand: nulls and array lengths take part, so shifted values differ."""
-    parts: list[Column] = []
+    parts: list[Column] = [F.lit(seed)] if seed else []
     for c in columns:
         parts += [F.col(c), F.col(c).isNull()]
         if isinstance(df.schema[c].dataType, T.ArrayType):
@@ -20,58 +20,36 @@ def row_hash(df: DataFrame, columns: list[str]) -> Column:
 def snapshot_changes(df: DataFrame, snap: str, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(snap, key, change_kind, n_before, n_after) for each key added, removed or changed against the snapshot before.
 
-    Each row is tagged twice, as the new side of its own snapshot and as the old side of the next one present;
-    one aggregation by (snapshot, key) compares per-side row hashes. Where a side holds one distinct content,
-    its least and greatest hash agree and decide; keys with several contents in one snapshot are compared as
-    sets of hashes in a second, exact aggregation over those keys only. Rows delivered twice count once; a key
-    that is null belongs to no record and is left out; values and array order are taken as they stand, null
-    equal to null. The first snapshot yields nothing; an empty table yields nothing.
+    Rows are read once. Each distinct content of a key (128 bits of row hash) is tagged with the sides it stands on:
+    the new side of its own snapshots and the old side of the next ones present. A key is unchanged where every
+    content of the old side stands on the new one too and none is new, which is three counts, so no key's contents
+    are ever gathered, however many a key has: contents aggregate partially before either shuffle. n_before and
+    n_after count distinct contents. Rows delivered twice count once; a key that is null belongs to no record and
+    is left out; values and array order are taken as they stand, null equal to null. The first snapshot yields
+    nothing; an empty table yields nothing.
     """
     columns = [c for c in df.columns if c not in {snap, key, *ignore}]
     snaps = df.where(F.col(snap).isNotNull()).select(F.col(snap).alias("_at")).distinct()
     # one row a delivery, and there are as many as deliveries: a small table at any size of the data
     order = snaps.agg(F.sort_array(F.collect_set("_at")).alias("_order"))
     hashed = df.where(F.col(key).isNotNull() & F.col(snap).isNotNull()).select(
-        F.col(snap).alias("_at"), F.col(key).alias("_key"), row_hash(df, columns).alias("_h")
+        F.col(snap).alias("_at"), F.col(key).alias("_key"), row_hash(df, columns).alias("_h"), row_hash(df, columns, 1).alias("_g")
     )
-    placed = hashed.crossJoin(F.broadcast(order)).select(
-        "_key", "_h", "_at",
-        F.expr("get(_order, cast(array_position(_order, _at) as int))").alias("_next"),
-        (F.col("_at") == F.col("_order")[0]).alias("_first"),
-    )
-    sides = placed.select(
-        "_key", "_h",
-        F.explode(F.array(
-            F.struct(F.when(~F.col("_first"), F.col("_at")).alias("to"), F.lit(True).alias("new")),
-            F.struct(F.col("_next").alias("to"), F.lit(False).alias("new")),
-        )).alias("_s"),
-    ).where("_s.to IS NOT NULL").select("_key", "_h", F.col("_s.to").alias("_to"), F.col("_s.new").alias("_new"))
-
-    def side(f, new: bool) -> Column:
-        return f(F.when(F.col("_new") == new, F.col("_h")))
-
-    one = sides.groupBy("_to", "_key").agg(
-        side(F.min, False).alias("_lo0"), side(F.max, False).alias("_hi0"), side(F.count, False).alias("n_before"),
-        side(F.min, True).alias("_lo1"), side(F.max, True).alias("_hi1"), side(F.count, True).alias("n_after"),
+    contents = hashed.groupBy("_key", "_h", "_g").agg(F.sort_array(F.collect_set("_at")).alias("_on"))
+    # the sides of a content: (snapshot, stands before, stands after), at most two a delivery
+    nexts = F.transform("_on", lambda x: F.get(F.col("_order"), F.array_position("_order", x).cast("int")))
+    later = F.filter("_on", lambda x: x > F.col("_order")[0])
+    sides = F.transform(
+        F.array_distinct(F.concat(later, F.filter(nexts, lambda x: x.isNotNull()))),
+        lambda x: F.struct(x.alias("to"), F.array_contains(nexts, x).alias("old"), F.array_contains("_on", x).alias("new")),
+    )
+    placed = contents.crossJoin(F.broadcast(order)).select("_key", F.explode(sides).alias("_s"))
+    one = placed.groupBy(F.col("_s.to").alias(snap), F.col("_key").alias(key)).agg(
+        F.count(F.when(F.col("_s.old"), 1)).alias("n_before"), F.count(F.when(F.col("_s.new"), 1)).alias("n_after"),
+        F.count(F.when(F.col("_s.old") & F.col("_s.new"), 1)).alias("_both"),
     )
-    several = (F.col("_lo0") < F.col("_hi0")) | (F.col("_lo1") < F.col("_hi1"))
-    both = F.col("_lo0").isNotNull() & F.col("_lo1").isNotNull()
     kind = (
-        F.when(F.col("_lo0").isNull(), "added").when(F.col("_lo1").isNull(), "removed")
-        .when((F.col("_lo0") != F.col("_lo1")) | (F.col("_hi0") != F.col("_hi1")), "changed")
-        .when(several, "several")
-    )
-    judged = one.withColumn("change_kind", kind).where("change_kind IS NOT NULL")
-    unsure = judged.where((F.col("change_kind") == "several") & both).select("_to", "_key", "n_before", "n_after")
-    sums = (
-        sides.join(unsure.select("_to", "_key"), ["_to", "_key"], "left_semi").distinct()
-        .groupBy("_to", "_key").agg(
-            *(F.sum(F.when(F.col("_new") == new, F.hash("_h", F.lit(salt)).cast("long"))).alias(f"_s{salt}{int(new)}")
-              for new in (False, True) for salt in (1, 2)),
-            *(F.count(F.when(F.col("_new") == new, 1)).alias(f"_c{int(new)}") for new in (False, True)),
-        )
-        .where("_s10 <> _s11 OR _s20 <> _s21 OR _c0 <> _c1").select("_to", "_key")
+        F.when(F.col("n_before") == 0, "added").when(F.col("n_after") == 0, "removed")
+        .when((F.col("_both") < F.col("n_before")) | (F.col("_both") < F.col("n_after")), "changed")
     )
-    exact = unsure.join(sums, ["_to", "_key"]).withColumn("change_kind", F.lit("changed"))
-    out = judged.where("change_kind <> 'several'").select("_to", "_key", "n_before", "n_after", "change_kind").unionByName(exact)
-    return out.select(F.col("_to").alias(snap), F.col("_key").alias(key), "change_kind", "n_before", "n_after")
+    return one.withColumn("change_kind", kind).where("change_kind IS NOT NULL").select(snap, key, "change_kind", "n_before", "n_after")
