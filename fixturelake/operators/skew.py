@@ -20,14 +20,14 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> Da
     by construction. Rows are read once.
     """
     value = [c for c in groups.columns if c not in keys and c != size]
-    total = groups.agg(F.sum(size).alias("_total"))
-    marked = groups.crossJoin(F.broadcast(total)).withColumn("_hot", F.col(size) * HOT > F.col("_total")).drop("_total", size)
-    hot = marked.where("_hot").select(*keys, F.struct(F.lit(1).alias("_"), *value).alias("_h"))
-    cold = marked.where("NOT _hot").select(*keys, F.struct(F.lit(1).alias("_"), *value).alias("_c"), F.lit(0).cast("long").alias("_salt"))
-    met = rows.withColumn("_own", F.xxhash64(*rows.columns)).join(F.broadcast(hot), keys, "left")
-    met = met.withColumn("_salt", F.when(F.col("_h").isNull(), F.lit(0).cast("long")).otherwise(F.when(F.col("_own") == 0, F.lit(1).cast("long")).otherwise(F.col("_own")))).drop("_own")
-    both = met.join(cold, [*keys, "_salt"], "left").withColumn("_g", F.coalesce("_h", "_c")).where("_g IS NOT NULL")
-    return both.select(*rows.columns, *(F.col(f"_g.{c}").alias(c) for c in value))
+    total = groups.agg(F.sum(size).alias("_attach_total"))
+    marked = groups.crossJoin(F.broadcast(total)).withColumn("_attach_hot", F.col(size) * HOT > F.col("_attach_total")).drop("_attach_total", size)
+    hot = marked.where("_attach_hot").select(*keys, F.struct(F.lit(1).alias("_"), *value).alias("_attach_h"))
+    cold = marked.where("NOT _attach_hot").select(*keys, F.struct(F.lit(1).alias("_"), *value).alias("_attach_c"), F.lit(0).cast("long").alias("_attach_salt"))
+    met = rows.withColumn("_attach_own", F.xxhash64(*rows.columns)).join(F.broadcast(hot), keys, "left")
+    met = met.withColumn("_attach_salt", F.when(F.col("_attach_h").isNull(), F.lit(0).cast("long")).otherwise(F.when(F.col("_attach_own") == 0, F.lit(1).cast("long")).otherwise(F.col("_attach_own")))).drop("_attach_own")
+    both = met.join(cold, [*keys, "_attach_salt"], "left").withColumn("_attach_g", F.coalesce("_attach_h", "_attach_c")).where("_attach_g IS NOT NULL")
+    return both.select(*rows.columns, *(F.col(f"_attach_g.{c}").alias(c) for c in value))
 
 
 def dense_rank_in(df: DataFrame, group: list[str], order: Column, salt_on: str, out: str, salts: int = SALTS) -> DataFrame:
