@@ -5,23 +5,25 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 from operator import eq
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixturelake.session import broadcast_checked
+from fixturelake.operators.skew import attach
+from fixturelake.session import broadcast_checked, durable
 
-#: A name inside weak delimiters is a template variable when it stands inside strong ones this often in the corpus.
-NAME_COUNT = 1
-#: Identical masked short pages from this many records on are one template.
-PAGE_COUNT = 2
-#: A page of a template has at most so many letters; longer texts are content.
-PAGE_CHARS = 700
+#: Identical masked pages from this many records on are one template: where wording speaks for it, and where only its words do.
+PAGE_COUNT, SILENT_COUNT = 2, 3
+#: Different real values that make a place of a template a slot; fixed words its skeleton has at least, and where a slot is blank.
+SLOT_VALUES, FIXED_WORDS, FIXED_WORDS_BLANK = 2, 2, 3
+#: Share of a template's records that hold a word in the same place, from which it is fixed.
+FIXED_SHARE = 0.8
 
 #: Share of lines from which a text is a trace or an empty form.
 SHARE = 0.8
@@ -52,7 +54,7 @@ LOREM = set(
 #: Wording of pages shown in place of content.
 PAGES = [
     r"\b[45]\d\d\b[\s:|—–-]{0,4}(?:not found|sayfa|içerik|page|forbidden|bad|internal|service|gateway|erişim|unavailable|unauthorized)", r"(?:kaldırılmış|silinmiş|taşınmış) (?:ya da|veya|olabilir)", r"\bhttp[ /]?\d?[ .]?\d? ?[45]\d\d\b", r"\bhata \d{3}\b", r"\berror \d{3}\b",
-    r"sayfa bulunamadı", r"page (?:was |could )?not (?:be )?found", r"seite (?:wurde )?nicht gefunden", r"aradığınız (?:içerik|sayfa)", r"ana ?sayfaya dönün", r"back to (?:the )?home ?page",
+    r"sayfa bulunamadı", r"page (?:[\w']+ ){0,4}?not (?:be )?found", r"seite (?:wurde )?nicht gefunden", r"aradığınız (?:içerik|sayfa)", r"ana ?sayfaya dönün", r"back to (?:the )?home ?page",
     r"(?:internal )?server error", r"could not complete your request", r"isteği(?:niz)? işle(?:ye|n)me", r"bad gateway", r"upstream timed out", r"gateway time-?out",
     r"(?:temporarily )?unavailable", r"retry in \d", r"tekrar deneyin", r"yeniden deneyin", r"try again (?:later|in)", r"too many requests", r"çok fazla istek", r"kota aşıldı", r"quota exceeded", r"rate limit",
     r"zaman aşımına uğradı", r"(?:connection|request|session|oturum)\w* (?:has )?(?:timed out|expired)", r"oturum\w* süresi doldu", r"session (?:has )?expired", r"sitzung.{0,20}abgelaufen",
@@ -63,6 +65,19 @@ PAGES = [
     r"bakım (?:çalışması|nedeniyle|modunda)", r"(?:down for|under) maintenance", r"şu anda (?:okunamıyor|kullanılamıyor|hizmet vere)", r"beklenmeyen (?:bir )?hata", r"bir (?:şeyler ters gitti|hata oluştu)", r"something went wrong",
 ]
 PAGE = re.compile("|".join(f"(?:{p})" for p in PAGES), re.I)
+#: What at least one of stands in each wording above, dotted and dotless i alike; a sentence without any is none of them.
+STEMS = (
+    "found gefunden bulunamad sayfa içerik page forbidden bad internal service gateway erişim unavailable unauthorized kaldirilmiş silinmiş taşinmiş http hata error home server "
+    "complete isteği upstream retry tekrar yeniden again many fazla kota quota limit aşimina timed expired süresi sitzung giriş please bitte access permission zugriff izin request yetki "
+    "enable activate turn javascript betik aktivieren noscript çerez cookie robot captcha verify content yüklenirken bakim maintenance anda beklenmeyen şeyler something"
+).split()
+_FOLD = str.maketrans({"İ": "i", "I": "i", "ı": "i"})
+#: What pages of this sort are about, in languages whose wording isn't listed: a page is one only if it also repeats and never stands in content.
+ABOUT = (
+    r"\b(?:page|pagina|página|seite|sayfa|site|serv[eiu]\w*|request\w*|requête|solicitud|richiesta|anfrage|istek|err(?:eur|or|ore|o)s?|fehler|hata|session|sesión|sessione|sitzung|oturum|"
+    r"acc(?:ess|ès|eso|esso)|zugriff|erişim|navigat\w*|navegador|browser|tarayıcı\w*|java ?script|scripts?|cookies?|login|connexion|conexión|connection|verbindung|bağlantı|http|url|lien|link)\b"
+)
+
 #: Lines that accompany such a page, or stand in an empty form.
 SIDE = re.compile(
     r"^(?:(?:request|trace|error|ray|incident)[ -]?(?:id|no|code)\b.*|referans\w*:? ?\w*\d\w*|ref\.? ?\w*\d\w*|\(?(?:kod|code|no)\.? ?:?\d+\)?|[«‹<←]\s*+\w[ \w]*+|geri dön|go back|\(?sayfa \d+/\d+\)?|page \d+ ?(?:/|of) ?\d+|\W*+(?:\d++\W*+)?|[0-9a-f-]{16,}|"
@@ -91,7 +106,8 @@ _UNSEEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064
 
 def plain(text: str) -> str:
     """Compatibility forms and blanks of all kinds as plain ones; line ends as one sort."""
-    s = unicodedata.normalize("NFKC", text.replace("\r\n", "\n").replace("\r", "\n"))
+    s = text.replace("\r\n", "\n").replace("\r", "\n")
+    s = s if unicodedata.is_normalized("NFKC", s) else unicodedata.normalize("NFKC", s)
     return re.sub(r"[^\S\n ]", " ", _UNSEEN.sub("", s))
 
 
@@ -106,12 +122,9 @@ def names_in(text: str, patterns: list[re.Pattern]) -> set[str]:
     return out
 
 
-def page_mask(text: str) -> str | None:
-    """The page with numbers and ids masked, as the key of its template; None for what is too long for one."""
-    s = plain(text).strip()
-    if not s or len(s) > PAGE_CHARS:
-        return None
-    s = re.sub(r"\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b|\d+", "0", s.lower())
+def page_mask(text: str) -> str:
+    """The page with numbers and ids masked, as the key of its template."""
+    s = re.sub(r"\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b|\d+", "0", plain(text).strip().lower())
     return re.sub(r"'[\w.]+'", "'x'", s)
 
 
@@ -181,49 +194,145 @@ def whole_page(text: str) -> str | None:
             return "form"
     if all(re.fullmatch(r"\W*(?:#\w+[!?/]?\w*[!?]?)\W*(?:[-/·,]\W*#\w+[!?/]?\w*[!?]?\W*)*", ln) for ln in left):
         return "form"
-    if sum(map(len, left)) <= 400:
-        sentences = [s for ln in left for s in re.split(r"(?<=[.!?])\s+(?=\w)", ln) if re.search(r"\w", s)]
-        said = [s for s in sentences if PAGE.search(s)]
-        other = [s for s in sentences if not PAGE.search(s) and not SIDE.match(s.strip(". "))]
-        if said and sum(map(len, other)) <= 0.34 * sum(map(len, sentences)) and len(other) <= len(said):
-            return "page"
-    return None
+    return "page" if worded(left) else None
 
 
-def residue(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, reason): texts that are residue of a template, filler, an error or script notice, an empty form or a trace.
+@lru_cache(maxsize=1)
+def _stems() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in STEMS:
+        a.add_word(w, w)
+    a.make_automaton()
+    return a
+
+
+def stemmed(text: str) -> bool:
+    return next(_stems().iter(text.translate(_FOLD).lower()), None) is not None
+
+
+def worded(lines: list[str]) -> bool:
+    """Whether notices fill the lines, whatever their length: at most a third and never most sentences say something else."""
+    said, silent, n_silent, total = [], 0, 0, 0
+    for ln in lines:
+        for x in re.split(r"(?<=[.!?])\s+(?=\w)", ln):
+            if re.search(r"\w", x):
+                total += len(x)
+                if stemmed(x):
+                    said.append(x)
+                elif not SIDE.match(x.strip(". ")):
+                    silent, n_silent = silent + len(x), n_silent + 1
+    if not said or silent > 0.34 * total or n_silent > len(said):
+        return False
+    other = [x for x in said if not PAGE.search(x)]
+    hits = len(said) - len(other)
+    other = [x for x in other if not SIDE.match(x.strip(". "))]
+    return hits > 0 and silent + sum(map(len, other)) <= 0.34 * total and n_silent + len(other) <= hits
+
+
+# Parts of a text that values fill: names and numbers, variables, defaults, blanks to fill in, and the gap (¶) a missing value leaves.
+_GAP = "¶"
+_LEFT = (
+    r"[A-Za-z]\w*_\w+(?:\.\w+)*|[a-z]+\.[a-z]+_\w+|[\{<\[«%$_@#]{1,3}[A-Za-zÇĞİÖŞÜçğıöşü][\w.]*[\}>\]»%$_@]{1,3}|"
+    r"(?i:undefined|null|none|nan|nil|nat|n/a|\[object object\]|\(null\))|#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!|NULL!|NUM!|YOK|BAŞV!|DEĞER!|AD\?|SAYI/0!)|%[sd]|\.{3,}|_{2,}|…+|-{3,}"
+)
+_VALUE = rf"(?:{_LEFT}|{_GAP}|\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}’'/-]*(?:\.(?=\p{{Lu}}))?|[\p{{L}}]*\p{{N}}[\p{{L}}\p{{N}}]*(?:[.:/-]\p{{N}}+)*)"
+#: Begins and ends of a value: neither inside a word.
+_REGION = rf"(?<![\p{{L}}\p{{N}}_]){_VALUE}(?:\s+{_VALUE})*(?![\p{{L}}\p{{N}}_])"
+_SENTENCE = r"(?<=[\p{L}\p{N}\p{M})\]}»>\"'!?][.!?])\s+|\s*\n\s*"
+
 
-    First pass over all texts: the names inside delimiters that only templates use, and the masks of short pages,
-    each counted in one aggregation. A text is flagged when a slot in strong delimiters still holds a name (unless
-    it is quoted as a name), whatever else the corpus holds, when one in weak delimiters holds a name the corpus
-    has in strong ones, when a slot kept a default two or more times side by side, or when filler runs through it. A short page is flagged when
-    all of it words an error, access, session or script notice, an empty form or a trace; the wording must fill
-    the page, so that content speaking of such things stays. A page repeated word for word but for its numbers
-    needs only some of that wording. Null, empty and blank texts are never flagged; texts are read whole.
+def segments(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, _seg): sentences and lines with blanks of one kind, and a mark where a value is missing: before a point after a blank, between two blanks, after a last colon."""
+    t = F.regexp_replace(F.translate(F.col(text), "\r\u00a0\u202f\u2009\t", "\n    "), "[\u200b-\u200f\u00ad\ufeff]", "")
+    gaps = F.regexp_replace(F.col("_s"), r"(?<=\S)  +(?=\S)| (?=[,.;:!?)](?:\s|$))|(?<=:)\s*$", f" {_GAP} ")
+    parts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.explode(F.split(t, _SENTENCE)).alias("_s")).where("_s <> ''")
+    return parts.select("_id", F.trim(F.regexp_replace(F.regexp_replace(gaps, " +", " "), rf"(?<={_GAP}) (?=[,.;:!?)])", "")).alias("_seg"))
+
+
+def aligned(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id): records with a slot that kept its variable's name, a default or a blank where other records of their template hold values.
+
+    Sentences are records of one template when they agree in their fixed words: what stays when values (capitalised
+    words, numbers, variables, defaults, blanks) are cut out. Within a template every place of a value is aligned over
+    all its records; words most of them share there are fixed too. A place is a slot when at least SLOT_VALUES different real values fill it
+    and fill it no less often than leftovers do, so words that only look like leftovers ("null skorlu maç") and
+    blanks left by every record stay. First pass: templates of sentences that show a leftover; only
+    their records are aligned, by counts, so a template may hold any share of the corpus.
     """
+    words = lambda c: F.size(F.expr(f"regexp_extract_all({c}, '(?<![¤\\\\p{{L}}])\\\\p{{Ll}}[\\\\p{{L}}\\\\p{{M}}]+', 0)"))
+    shown = F.col("_seg").rlike(rf"{_GAP}|(?<![\p{{L}}\p{{N}}_])(?:{_LEFT})(?![\p{{L}}\p{{N}}_])")
+    skeleton = F.lower(F.regexp_replace("_seg", _REGION, "¤"))
+    segs = segments(df, key, text)
+    made = segs.withColumn("_sk", skeleton)
+    asked = durable(made.where(shown).groupBy("_sk").agg(F.count(F.lit(1)).alias("_m")).where(words("_sk") >= FIXED_WORDS).select("_sk"))
+    of = made.join(broadcast_checked(asked), "_sk", "left_semi").select("_id", F.xxhash64("_sk").alias("_sk"), words("_sk").alias("_w"), "_seg")
+    values = durable(
+        of.select("_id", "_sk", "_w", F.posexplode(F.expr(f"regexp_extract_all(_seg, '{_sql(_REGION)}', 0)")).alias("_at", "_v"))
+    )
+    each = values.groupBy("_sk", "_at", "_w", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    told = durable(each.withColumn("_t", F.split("_v", " ")))
+    size = told.groupBy("_sk", "_at").agg(F.sum("_n").alias("_all"))
+    held = told.select("_sk", "_at", "_n", F.explode(F.array_distinct("_t")).alias("_x")).groupBy("_sk", "_at", "_x").agg(F.sum("_n").alias("_c"))
+    # so many records hold a fixed word that a place has few of them
+    fixed = held.join(size, ["_sk", "_at"]).where((F.col("_c") >= FIXED_SHARE * F.col("_all")) & ~F.col("_x").rlike(f"^(?:{_LEFT}|{_GAP})$"))
+    fixed = fixed.groupBy("_sk", "_at").agg(F.collect_set("_x").alias("_fixed"))
+    bare = told.join(fixed, ["_sk", "_at"], "left").withColumn("_t", F.filter(F.array_except("_t", F.coalesce("_fixed", F.array().cast("array<string>"))), lambda x: x != _GAP))
+    left = lambda x: x.rlike(rf"^(?:{_LEFT})$")
+    dots = lambda x: x.rlike(r"^(?:\.{3,}|_{2,}|…+|-{3,})$")
+    kind = (
+        F.when(F.size("_t") == 0, "blank").when(F.forall("_t", dots), "blank").when(F.forall("_t", left), "name").when(F.exists("_t", left), "mixed").otherwise("real")
+    )
+    judged = durable(bare.select("_sk", "_at", "_w", "_v", "_n", kind.alias("_kind"), F.concat_ws(" ", "_t").alias("_real")))
+    real, lost = F.col("_kind") == "real", F.col("_kind").isin("name", "blank")
+    slots = judged.groupBy("_sk", "_at").agg(
+        F.sum(F.when(real, F.col("_n"))).alias("_reals"), F.sum(F.when(lost, F.col("_n"))).alias("_losts"), F.approx_count_distinct(F.when(real, F.col("_real"))).alias("_kinds"),
+    ).where((F.col("_kinds") >= SLOT_VALUES) & (F.col("_reals") >= F.col("_losts")))
+    enough = (F.col("_kind") == "name") | (F.col("_w") >= FIXED_WORDS_BLANK)
+    kept = judged.where(lost & enough).join(slots.select("_sk", "_at"), ["_sk", "_at"], "left_semi").select("_sk", "_at", "_v", "_n")
+    return attach(values.select("_id", "_sk", "_at", "_v"), kept, ["_sk", "_at", "_v"], "_n").select("_id").distinct()
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def repeated_pages(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id): whole pages of error templates known by repetition alone, whatever their wording, language and length.
+
+    SILENT_COUNT records or more are the same page but for numbers and ids, half its sentences or more are about what such pages are
+    about (ABOUT), and none of its sentences stands, or begins a sentence, in any other text: content that is copied
+    or cut short shares its sentences with other content, templates of errors don't.
+    """
+    fold = lambda c: F.regexp_replace(F.lower(F.translate(c, "İIı\r\u00a0\t", "iii\n  ")), r"\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b|\d+", "0")
+    clean = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.trim(F.regexp_replace(F.regexp_replace(fold(F.col(text)), " +", " "), r"^\s+|\s+$", "")).alias("_m"))
+    pages = clean.where("_m <> ''").withColumn("_h", F.xxhash64("_m")).withColumn("_s", F.filter(F.split("_m", _SENTENCE), lambda x: x.rlike(r"\p{L}")))
+    about = F.size(F.filter("_s", lambda x: x.rlike("(?iu)" + ABOUT.replace("ı", "i"))))
+    often = pages.where(F.col("_m").rlike("(?iu)" + ABOUT.replace("ı", "i")) & (2 * about >= F.size("_s"))).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.first("_s").alias("_s"))
+    often = durable(often.where(F.col("_n") >= SILENT_COUNT))
+    head = F.concat_ws(" ", F.slice(F.split("_x", " "), 1, 2))
+    asked = broadcast_checked(often.select(F.col("_h").alias("_p"), F.explode("_s").alias("_x")).where("instr(_x, ' ') > 0").select("_p", F.col("_x").alias("_y"), head.alias("_head")))
+    inside = pages.select("_h", F.explode("_s").alias("_x")).withColumn("_head", head).join(asked, "_head").where("_h <> _p AND startswith(_x, _y)").select(F.col("_p").alias("_h")).distinct()
+    known = often.join(inside, "_h", "left_anti").select("_h", "_n")
+    return attach(pages.select("_id", "_h"), known, ["_h"], "_n").select("_id")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names: Counter = Counter()
-            pages: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                s = plain(t)
-                if any(c in s for c in "{@<[$#"):
-                    names.update(names_in(s, STRONG))
-                if len(s.strip()) <= PAGE_CHARS and (m := page_mask(s)) and PAGE.search(m):
-                    pages[m] += 1
-            rows = [("name", k, n) for k, n in names.items()] + [("page", k, n) for k, n in pages.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "what", "n"])
 
-    counted = df.select(text).mapInArrow(scan, "kind string, what string, n long").groupBy("kind", "what").agg(F.sum("n").alias("n"))
-    known = counted.where(f"kind = 'name' AND n >= {NAME_COUNT}").select(F.col("what").alias("name"))
-    pages = counted.where(f"kind = 'page' AND n >= {PAGE_COUNT}").select(F.col("what").alias("page"))
+def residue(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, reason): texts that are residue of a template, filler, an error or script notice, an empty form or a trace.
+
+    Three ways, each over whole texts of any length: sentences of one template are aligned and slots that kept a name,
+    a default or a blank are found (aligned); pages repeated as a whole that never stand in content (repeated_pages);
+    and one pass that judges each text by itself. There a text is flagged when a slot in strong delimiters still holds
+    a name (unless it is quoted as a name), when one in weak delimiters holds a name the corpus has in strong ones,
+    when one default fills two slots side by side, when filler runs through it, when all of it is a trace or an empty form, or when
+    the wording of an error, access, session or script notice fills it, so that content speaking of such
+    things stays; a page repeated word for word but for its numbers needs only some of that wording. Null, empty and blank texts are
+    never flagged.
+    """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, reasons, names, masks = [], [], [], []
+            strong: set[str] = set()
 
             def add(i, reason, name=None, mask=None):
                 ids.append(i), reasons.append(reason), names.append(name), masks.append(mask)
@@ -232,29 +341,39 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
                 if not t or not t.strip():
                     continue
                 s = plain(t)
+                marked = names_in(s, STRONG) if any(c in s for c in "{@<[$#") else ()
+                strong.update(marked)
                 if _DEFAULT.search(s) and any(default_slots(ln) for ln in s.split("\n")):
                     add(i, "default")
                 elif filler(s):
                     add(i, "filler")
                 elif kind := whole_page(s):
                     add(i, kind)
+                elif marked:
+                    add(i, "slot")
                 else:
-                    if names_in(s, STRONG):
-                        add(i, "slot")
-                        continue
-                    for n in names_in(s, WEAK):
-                        add(i, "slot", n)
-                    if len(s.strip()) <= PAGE_CHARS and (m := page_mask(s)) and PAGE.search(m):
-                        covered = sum(len(x[0]) for x in PAGE.finditer(m))
-                        if covered >= 0.3 * len(m):
+                    if any(c in s for c in "{<«%$_["):
+                        for n in names_in(s, WEAK):
+                            add(i, "slot", n)
+                    if (n := sum(1 for _ in _stems().iter(s.translate(_FOLD).lower()))) and 200 * n >= len(s):
+                        m = page_mask(s)
+                        if sum(len(x[0]) for x in PAGE.finditer(m)) >= 0.3 * len(m):
                             add(i, "page", None, m)
+            for n in strong:
+                add(None, "strong", n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.schema.field(0).type), *(pa.array(c, pa.string()) for c in (reasons, names, masks))], names=[key, "reason", "name", "page"]
+                [pa.array(ids, b.schema.field(0).type), *(pa.array(c, pa.string()) for c in (reasons, names, masks))], names=["_id", "reason", "name", "page"]
             )
 
     kind = df.schema[key].dataType.simpleString()
-    judged = df.select(key, text).mapInArrow(judge, f"`{key}` {kind}, reason string, name string, page string")
-    sure = judged.where("name IS NULL AND page IS NULL").select(key, "reason")
-    slots = judged.where("name IS NOT NULL").join(broadcast_checked(known), "name", "left_semi").select(key, "reason")
-    repeated = judged.where("page IS NOT NULL").join(broadcast_checked(pages), "page", "left_semi").select(key, "reason")
-    return sure.unionByName(slots).unionByName(repeated).groupBy(key).agg(F.min("reason").alias("reason"))
+    judged = durable(df.select(key, text).mapInArrow(judge, f"_id {kind}, reason string, name string, page string"))
+    sure = judged.where("name IS NULL AND page IS NULL").select("_id", "reason")
+    known = judged.where("reason = 'strong'").select("name").distinct()
+    weak = judged.where("name IS NOT NULL AND reason = 'slot'").join(broadcast_checked(known), "name", "left_semi").select("_id", "reason")
+    paged = judged.where("page IS NOT NULL").withColumn("page", F.xxhash64("page"))
+    often = paged.groupBy("page").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= PAGE_COUNT)
+    repeated = attach(paged.select("_id", "page"), often, ["page"], "_n").select("_id", F.lit("page").alias("reason"))
+    slots = aligned(df.select(key, text), key, text).select("_id", F.lit("slot").alias("reason"))
+    pages = repeated_pages(df.select(key, text), key, text).select("_id", F.lit("page").alias("reason"))
+    found = sure.unionByName(weak).unionByName(repeated).unionByName(slots).unionByName(pages)
+    return found.groupBy(F.col("_id").alias(key)).agg(F.min("reason").alias("reason"))

@@ -46,6 +46,7 @@ def test_one_strong_placeholder_is_enough(rows):
     ("Error: " + "x y " * 150 + "\n    at run (job.js:9:7)", "trace"), ("Exception in thread main\n" + "\n".join(f"    at a.b{i} (c.js:{i}:1)" for i in range(90)), "trace"),
     ("Traceback (most recent call last):\n" + "  File \"a.py\", line 3, in f\n    return g(x)\n" * 40 + "ValueError: bad", "trace"),
     ("MAÇ: " + "." * 500 + "\nSALON: ......\nSAAT: ......", "form"), ("Bu form maçtan sonra doldurulur. " * 15 + "\nMAÇ: .....\nSALON: .....\nSAAT: .....\nSKOR: .....", "form"),
+    ("Sayfa bulunamadı, aradığınız sayfa kaldırılmış olabilir. " * 100, "page"), ("Sayfa bulunamadı. " + (REAL + " ") * 50, None), ("The page you requested could not be found", "page"),
     ("MAÇ: A - B\nSALON: .....\nSAAT: .....\nSKOR: .....\nNOT: .....", None), ("Giriş " + "." * 200 + " 5", None), ("Sayfa bulunamadı &mdash; 404", "page"), ((REAL + " ") * 9 + "\nError: bad\n    at run (job.js:9:7)", None),
 ])
 def test_long_pages(text, kind):
@@ -60,3 +61,50 @@ def test_masks_of_ordinary_length():
 @pytest.mark.parametrize("line", ["15-15-15 sona erdi", "yok, yok dediler", "A - A"])
 def test_ordinary_repeats(line):
     assert not filler(line) and not default_slots(line) and whole_page(line) is None
+
+
+SLOTS = ["Sayın Ahmet Kaya, 12.05.2026 günü Kadıköy salonunda saat 18:30 için görevlisiniz.", "Sayın Elif Demir, 13.05.2026 günü Beşiktaş salonunda saat 10:00 için görevlisiniz.", "Sayın Can Su, 01.04.2026 günü Moda salonunda saat 12:15 için görevlisiniz.",
+         "Sayın Naz Er, 2 Mayıs günü Fikirtepe salonunda saat 9.30 için görevlisiniz.", "Sayın Ömer Faruk Ak, 30.05.2026 günü Koşuyolu Spor salonunda saat 20:00 için görevlisiniz."]
+LEFT = ["Sayın undefined, 12.05.2026 günü Kadıköy salonunda saat 18:30 için görevlisiniz.", "Sayın , 14.05.2026 günü Moda salonunda saat 11:30 için görevlisiniz.", "Sayın ......, 12.05.2026 günü ...... salonunda saat 18:30 için görevlisiniz.",
+        "Sayın AD_SOYAD, 12.05.2026 günü SALON_ADI salonunda saat 18:30 için görevlisiniz."]
+FRENCH = "Erreur du serveur. La page demandée est introuvable, veuillez réessayer plus tard."
+
+
+def test_slots_found_by_aligning_records(rows):
+    told = ["Hakem hatası düzeyi indi; null skorlu maç kalmadı.", "Bu ay hakem hatası düzeyi indi; null skorlu maç kalmadı.", "Kadro , dün akşam açıklandı ve liste asıldı.", "Tabloda #REF! görünen 53 hücre düzeltildi.", "Tabloda #REF! görünen 9 hücre düzeltildi."]
+    pages = [FRENCH] * 3 + ["Die Uhr blieb auf der Seite stehen."] * 3 + ["Die Uhr blieb auf der Seite stehen. Danach ging es weiter.", "The page you requested could not be found"]
+    for pad in ("", REAL + " "):
+        docs = [pad + t for t in SLOTS + LEFT + told] + pages
+        df = rows("doc_id long, text string, _id int, _seg string", *({"doc_id": i, "text": t} for i, t in enumerate(docs)))
+        got = {docs[r.doc_id] for r in residue(df, "doc_id", "text").collect()}
+        assert got == {pad + t for t in LEFT} | {FRENCH, pages[-1]}
+
+
+def test_every_wording_holds_a_stem():
+    from re import _parser
+
+    from fixturelake.llm.residue import PAGES, stemmed
+
+    def shortest(tree):
+        """Texts with every choice of the pattern taken once and nothing optional."""
+        out = [""]
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                parts = [chr(arg)]
+            elif name == "BRANCH":
+                parts = [x for t in arg[1] for x in shortest(t)]
+            elif name == "SUBPATTERN":
+                parts = shortest(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                parts = [x * arg[0] for x in shortest(arg[2])] if arg[0] else [""]
+            elif name == "IN":
+                parts = [next((chr(v) for o, v in arg if str(o) == "LITERAL"), "0")]
+            elif name == "AT":
+                parts = [""]
+            else:
+                parts = ["0"]
+            out = [a + b for a in out for b in parts]
+        return out
+
+    assert all(stemmed(x.upper()) and stemmed(x) for p in PAGES for x in shortest(_parser.parse(p)))
