@@ -32,6 +32,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files fill fewer of them; a table with more parts than cores is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_enough(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most that many rows; reads no more than most + 1 of them."""
     return df.limit(most + 1).count() <= most
