@@ -12,11 +12,11 @@ from operator import eq
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixturelake.operators.skew import attach
-from fixturelake.session import broadcast_checked, durable
+from fixturelake.session import broadcast_checked, durable, spread
 
 #: Identical masked pages from this many records on are one template: where wording speaks for it, and where only its words do.
 PAGE_COUNT, SILENT_COUNT = 2, 3
@@ -71,13 +71,23 @@ STEMS = (
     "complete isteği upstream retry tekrar yeniden again many fazla kota quota limit aşimina timed expired süresi sitzung giriş please bitte access permission zugriff izin request yetki "
     "enable activate turn javascript betik aktivieren noscript çerez cookie robot captcha verify content yüklenirken bakim maintenance anda beklenmeyen şeyler something"
 ).split()
-_FOLD = str.maketrans({"İ": "i", "I": "i", "ı": "i"})
+
+
+def folded(text: str) -> str:
+    """Lower case, dotted and dotless i alike."""
+    return text.replace("İ", "i").replace("I", "i").replace("ı", "i").lower()
+
+
 #: What pages of this sort are about, in languages whose wording isn't listed: a page is one only if it also repeats and never stands in content.
 ABOUT = (
     r"\b(?:page|pagina|página|seite|sayfa|site|serv[eiu]\w*|request\w*|requête|solicitud|richiesta|anfrage|istek|err(?:eur|or|ore|o)s?|fehler|hata|session|sesión|sessione|sitzung|oturum|"
-    r"acc(?:ess|ès|eso|esso)|zugriff|erişim|navigat\w*|navegador|browser|tarayıcı\w*|java ?script|scripts?|cookies?|login|connexion|conexión|connection|verbindung|bağlantı|http|url|lien|link)\b"
+    r"acc(?:ess|ès|eso|esso)|zugriff|erişim|navigat\w*|navegador|browser|tarayici\w*|java ?script|scripts?|cookies?|login|connexion|conexión|connection|verbindung|bağlanti|http|url|lien|link)\b"
 )
 
+_ABOUT = re.compile(ABOUT)
+#: One of them stands in each of these words.
+ABOUT_STEMS = ("page", "pagina", "página", "seite", "sayfa", "site", "serv", "request", "requête", "solicitud", "richiesta", "anfrage", "istek", "err", "fehler", "hata", "sesi", "sessi", "sitzung", "oturum",
+               "acces", "accès", "zugriff", "erişim", "navig", "naveg", "browser", "tarayici", "java", "script", "cookie", "login", "connexi", "conexi", "connecti", "verbindung", "bağlanti", "http", "url", "lien", "link")
 #: Lines that accompany such a page, or stand in an empty form.
 SIDE = re.compile(
     r"^(?:(?:request|trace|error|ray|incident)[ -]?(?:id|no|code)\b.*|referans\w*:? ?\w*\d\w*|ref\.? ?\w*\d\w*|\(?(?:kod|code|no)\.? ?:?\d+\)?|[«‹<←]\s*+\w[ \w]*+|geri dön|go back|\(?sayfa \d+/\d+\)?|page \d+ ?(?:/|of) ?\d+|\W*+(?:\d++\W*+)?|[0-9a-f-]{16,}|"
@@ -197,17 +207,24 @@ def whole_page(text: str) -> str | None:
     return "page" if worded(left) else None
 
 
-@lru_cache(maxsize=1)
-def _stems() -> ahocorasick.Automaton:
+@lru_cache(maxsize=2)
+def _stems(words: tuple[str, ...] = tuple(STEMS)) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for w in STEMS:
+    for w in words:
         a.add_word(w, w)
     a.make_automaton()
     return a
 
 
+def about(low: str) -> bool:
+    """Whether half the sentences of a folded text or more are about what error pages are about."""
+    hits = sum(1 for _ in _stems(ABOUT_STEMS).iter(low))
+    said = [x for x in re.split(r"(?<=[.!?])\s+|\n", low) if re.search(r"[^\W\d_]", x)] if hits else []
+    return 0 < len(said) <= 2 * hits and len(said) <= 2 * sum(_ABOUT.search(x) is not None for x in said)
+
+
 def stemmed(text: str) -> bool:
-    return next(_stems().iter(text.translate(_FOLD).lower()), None) is not None
+    return next(_stems().iter(folded(text)), None) is not None
 
 
 def worded(lines: list[str]) -> bool:
@@ -238,13 +255,14 @@ _LEFT = (
 _VALUE = rf"(?:{_LEFT}|{_GAP}|\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}’'/-]*(?:\.(?=\p{{Lu}}))?|[\p{{L}}]*\p{{N}}[\p{{L}}\p{{N}}]*(?:[.:/-]\p{{N}}+)*)"
 #: Begins and ends of a value: neither inside a word.
 _REGION = rf"(?<![\p{{L}}\p{{N}}_]){_VALUE}(?:\s+{_VALUE})*(?![\p{{L}}\p{{N}}_])"
-_SENTENCE = r"(?<=[\p{L}\p{N}\p{M})\]}»>\"'!?][.!?])\s+|\s*\n\s*"
+_SENTENCE = r"[.!?](?<=[\p{L}\p{N}\p{M})\]}»>\"'!?].)\s+|\n"
 
 
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_id, _seg): sentences and lines with blanks of one kind, and a mark where a value is missing: before a point after a blank, between two blanks, after a last colon."""
+    """(_id, _seg): sentences and lines with blanks of one kind, and a mark where a value is missing: between a blank and a mark, between two blanks, after a line's last colon."""
     t = F.regexp_replace(F.translate(F.col(text), "\r\u00a0\u202f\u2009\t", "\n    "), "[\u200b-\u200f\u00ad\ufeff]", "")
-    gaps = F.regexp_replace(F.col("_s"), r"(?<=\S)  +(?=\S)| (?=[,.;:!?)](?:\s|$))|(?<=:)\s*$", f" {_GAP} ")
+    t = F.regexp_replace(t, ": *\n", f": {_GAP}\n")
+    gaps = F.regexp_replace(F.col("_s"), r"(?<=\S)  +(?=\S)| (?=[,.;:!?)](?:\s|$))", f" {_GAP} ")
     parts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.explode(F.split(t, _SENTENCE)).alias("_s")).where("_s <> ''")
     return parts.select("_id", F.trim(F.regexp_replace(F.regexp_replace(gaps, " +", " "), rf"(?<={_GAP}) (?=[,.;:!?)])", "")).alias("_seg"))
 
@@ -296,24 +314,30 @@ def _sql(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def repeated_pages(df: DataFrame, key: str, text: str) -> DataFrame:
+def masked(c: Column) -> Column:
+    """page_mask for Spark, on one sentence without its end."""
+    low = F.lower(F.translate(c, "İIı\r\u00a0\t", "iii   "))
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b|\d+", "0"), " +|[.!?]+$", " "))
+
+
+def repeated_pages(df: DataFrame, key: str, text: str, pages: DataFrame) -> DataFrame:
     """(_id): whole pages of error templates known by repetition alone, whatever their wording, language and length.
 
-    SILENT_COUNT records or more are the same page but for numbers and ids, half its sentences or more are about what such pages are
-    about (ABOUT), and none of its sentences stands, or begins a sentence, in any other text: content that is copied
-    or cut short shares its sentences with other content, templates of errors don't.
+    pages: (_id, page), texts half of whose sentences or more are about what such pages are about, masked. A page is a template when
+    SILENT_COUNT records or more are the same but for numbers and ids, and none of its sentences stands, or begins a
+    sentence, in any text that is no such page: content that is copied or cut short shares its sentences with other content,
+    templates of errors don't.
     """
-    fold = lambda c: F.regexp_replace(F.lower(F.translate(c, "İIı\r\u00a0\t", "iii\n  ")), r"\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b|\d+", "0")
-    clean = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.trim(F.regexp_replace(F.regexp_replace(fold(F.col(text)), " +", " "), r"^\s+|\s+$", "")).alias("_m"))
-    pages = clean.where("_m <> ''").withColumn("_h", F.xxhash64("_m")).withColumn("_s", F.filter(F.split("_m", _SENTENCE), lambda x: x.rlike(r"\p{L}")))
-    about = F.size(F.filter("_s", lambda x: x.rlike("(?iu)" + ABOUT.replace("ı", "i"))))
-    often = pages.where(F.col("_m").rlike("(?iu)" + ABOUT.replace("ı", "i")) & (2 * about >= F.size("_s"))).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.first("_s").alias("_s"))
-    often = durable(often.where(F.col("_n") >= SILENT_COUNT))
-    head = F.concat_ws(" ", F.slice(F.split("_x", " "), 1, 2))
-    asked = broadcast_checked(often.select(F.col("_h").alias("_p"), F.explode("_s").alias("_x")).where("instr(_x, ' ') > 0").select("_p", F.col("_x").alias("_y"), head.alias("_head")))
-    inside = pages.select("_h", F.explode("_s").alias("_x")).withColumn("_head", head).join(asked, "_head").where("_h <> _p AND startswith(_x, _y)").select(F.col("_p").alias("_h")).distinct()
-    known = often.join(inside, "_h", "left_anti").select("_h", "_n")
-    return attach(pages.select("_id", "_h"), known, ["_h"], "_n").select("_id")
+    named = pages.select("_id", F.xxhash64("page").alias("_p"), "page")
+    often = durable(named.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.first("page").alias("page")).where(F.col("_n") >= SILENT_COUNT))
+    theirs = durable(attach(named.select("_id", "_p"), often.select("_p", "_n"), ["_p"], "_n"))
+    head = lambda c: F.substring_index(c, " ", 2)
+    asked = often.select("_p", F.explode(F.split("page", _SENTENCE)).alias("_y")).select("_p", masked(F.col("_y")).alias("_y")).where("instr(_y, ' ') > 0").withColumn("_head", head(F.col("_y")))
+    rest = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(broadcast_checked(theirs.select("_id")), "_id", "left_anti")
+    said = rest.select(F.explode(F.split("_t", _SENTENCE)).alias("_x")).select(F.ltrim("_x").alias("_x")).withColumn("_head", masked(head(F.col("_x"))))
+    inside = said.join(broadcast_checked(asked), "_head").where(F.startswith(masked(F.col("_x")), F.col("_y"))).select("_p").distinct()
+    known = often.join(inside, "_p", "left_anti").select("_p", "_n")
+    return attach(theirs.select("_id", "_p"), known, ["_p"], "_n").select("_id")
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -355,10 +379,13 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
                     if any(c in s for c in "{<«%$_["):
                         for n in names_in(s, WEAK):
                             add(i, "slot", n)
-                    if (n := sum(1 for _ in _stems().iter(s.translate(_FOLD).lower()))) and 200 * n >= len(s):
+                    low = folded(s)
+                    if (n := sum(1 for _ in _stems().iter(low))) and 200 * n >= len(s):
                         m = page_mask(s)
                         if sum(len(x[0]) for x in PAGE.finditer(m)) >= 0.3 * len(m):
                             add(i, "page", None, m)
+                    if about(low):
+                        add(i, "repeated", None, page_mask(low))
             for n in strong:
                 add(None, "strong", n)
             yield pa.RecordBatch.from_arrays(
@@ -366,14 +393,15 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
             )
 
     kind = df.schema[key].dataType.simpleString()
-    judged = durable(df.select(key, text).mapInArrow(judge, f"_id {kind}, reason string, name string, page string"))
+    df = spread(df.select(key, text))
+    judged = durable(df.mapInArrow(judge, f"_id {kind}, reason string, name string, page string"))
     sure = judged.where("name IS NULL AND page IS NULL").select("_id", "reason")
     known = judged.where("reason = 'strong'").select("name").distinct()
     weak = judged.where("name IS NOT NULL AND reason = 'slot'").join(broadcast_checked(known), "name", "left_semi").select("_id", "reason")
-    paged = judged.where("page IS NOT NULL").withColumn("page", F.xxhash64("page"))
+    paged = judged.where("reason = 'page' AND page IS NOT NULL").withColumn("page", F.xxhash64("page"))
     often = paged.groupBy("page").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= PAGE_COUNT)
     repeated = attach(paged.select("_id", "page"), often, ["page"], "_n").select("_id", F.lit("page").alias("reason"))
-    slots = aligned(df.select(key, text), key, text).select("_id", F.lit("slot").alias("reason"))
-    pages = repeated_pages(df.select(key, text), key, text).select("_id", F.lit("page").alias("reason"))
+    slots = aligned(df, key, text).select("_id", F.lit("slot").alias("reason"))
+    pages = repeated_pages(df, key, text, judged.where("reason = 'repeated'").select("_id", "page")).select("_id", F.lit("page").alias("reason"))
     found = sure.unionByName(weak).unionByName(repeated).unionByName(slots).unionByName(pages)
     return found.groupBy(F.col("_id").alias(key)).agg(F.min("reason").alias("reason"))
