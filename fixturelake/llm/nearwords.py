@@ -81,31 +81,3 @@ class NearWords:
             self._seen.clear()
         self._seen[key] = out
         return out
-
-
-class NearPieces:
-    """Long words within ``most`` edits, by pieces: an edit touches two neighbouring pieces at most, so of 2 * most + 1 one stays whole."""
-
-    def __init__(self, words: set[str], most: int):
-        self.most = most
-        self.index: dict[tuple[int, int, str], list[str]] = {}
-        self.sizes: dict[int, list[tuple[int, int]]] = {}
-        for w in sorted(words):
-            for k, (a, b) in enumerate(self._cuts(len(w))):
-                self.index.setdefault((len(w), k, w[a:b]), []).append(w)
-
-    def _cuts(self, n: int) -> list[tuple[int, int]]:
-        if n not in self.sizes:
-            k = 2 * self.most + 1
-            self.sizes[n] = [(n * i // k, n * (i + 1) // k) for i in range(k)]
-        return self.sizes[n]
-
-    def near(self, word: str) -> list[str]:
-        """All words within ``most`` edits."""
-        found: set[str] = set()
-        for n in range(max(1, len(word) - self.most), len(word) + self.most + 1):
-            if n in self.sizes:
-                for k, (a, b) in enumerate(self._cuts(n)):
-                    for at in range(max(0, a - self.most), a + self.most + 1):
-                        found.update(self.index.get((n, k, word[at : at + b - a]), ()))
-        return sorted(x for x in found if distance(word, x, self.most) <= self.most)
