@@ -14,47 +14,56 @@ from pyspark.sql import types as T
 from fixturelake.operators.skew import SALTS, dense_rank_in
 from fixturelake.session import durable
 
-#: Buckets per capacity; a capacity of at most this many tokens has a bucket for every length.
-BUCKETS = 512
+#: Buckets per capacity.
+BUCKETS = 1024
 
 
 def bucket_bounds(histogram: np.ndarray, most: int = BUCKETS) -> np.ndarray:
     """Upper bounds of at most ``most`` buckets of lengths 1..C that minimise total padding.
 
     histogram[s] = number of items of length s. Dynamic programming over the lengths that occur: a bucket of the
-    lengths i to j costs its items times its bound less their tokens, a line in the bound for each i, so each
-    layer is one sweep over a lower hull of lines, as many steps as there are lengths.
+    lengths i to j costs its items times its bound less their tokens, a line in the bound for each i, so one sweep
+    over a lower hull of lines finds the best buckets at a given price a bucket. The padding is convex in the number of buckets,
+    so a search over whole prices finds the one at which ``most`` buckets are best; where several numbers of buckets are equally
+    good at that price, the paths with fewer and with more are crossed to the exact number.
     """
     sizes = (np.flatnonzero(histogram[1:]) + 1).tolist()
     m = len(sizes)
-    if m <= most:
-        return np.array(sizes, np.int64)
     n = [int(histogram[s]) for s in sizes]
     items, tokens = [0, *accumulate(n)], [0, *accumulate(a * b for a, b in zip(n, sizes))]
-    best = [sizes[j] * items[j + 1] - tokens[j + 1] for j in range(m)]
-    choice = np.zeros((most, m), np.int32)
-    for k in range(1, most):
-        new, hull, at = [0] * m, [], 0
-        for j in range(m):
-            # the line of buckets that begin at j: slope -items[j], height best[j - 1] + tokens[j]
-            line = (-items[j], (best[j - 1] if j else 0) + tokens[j], j)
+    unit = m + 2  # padding counts in units that outweigh all buckets, so that ties fall to fewer or to more of them
+
+    def path(price: int) -> list[int]:
+        """Bounds of the cheapest buckets as numbers of lengths before them, from 0 to m."""
+        best, before, hull, at = [0] * (m + 1), [0] * (m + 1), [], 0
+        for j, s in enumerate(sizes):
+            line = (-items[j] * unit, best[j] + tokens[j] * unit + price, j)
             while len(hull) - at >= 2 and (line[1] - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - line[0]):
                 hull.pop()
             hull.append(line)
-            s = sizes[j]
             while at + 1 < len(hull) and hull[at + 1][0] * s + hull[at + 1][1] <= hull[at][0] * s + hull[at][1]:
                 at += 1
-            a, b, i = hull[at]
-            new[j] = a * s + b + s * items[j + 1] - tokens[j + 1]
-            choice[k, j] = i
-        best = new
-    bounds, j = [], m - 1
-    for k in range(most - 1, -1, -1):
-        bounds.append(sizes[j])
-        j = int(choice[k, j]) - 1
-        if j < 0:
-            break
-    return np.array(sorted(bounds), np.int64)
+            best[j + 1] = hull[at][0] * s + hull[at][1] + (s * items[j + 1] - tokens[j + 1]) * unit
+            before[j + 1] = hull[at][2]
+        out = [m]
+        while out[-1]:
+            out.append(before[out[-1]])
+        return out[::-1]
+
+    low, high = 0, max(1, sizes[-1] * items[m] - tokens[m]) if m else 1
+    while low < high:  # the least price at which no more than ``most`` buckets are worth it
+        middle = (low + high) // 2
+        if len(path(middle * unit + 1)) - 1 <= most:
+            high = middle
+        else:
+            low = middle + 1
+    few = path(low * unit + 1)
+    many = path(low * unit - 1) if low and len(few) - 1 < most else few
+    extra = min(most, len(many) - 1) - (len(few) - 1)
+    if extra > 0:  # an edge of the shorter path that spans the edge of the longer one as many steps on
+        i = next(i for i in range(len(few) - 1) if few[i] <= many[i + extra] and many[i + extra + 1] <= few[i + 1])
+        few = many[: i + extra + 1] + few[i + 1 :]
+    return np.array([sizes[k - 1] for k in few[1:]], np.int64)
 
 
 def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
