@@ -51,3 +51,23 @@ def test_a_source_that_invents_values_is_believed_less(spark):
     got = judged_values(spark.createDataFrame(members, "g string, id long, source string"), spark.createDataFrame(claims, "g string, id long, source string, field string, value string"))
     p = {r.value: r.p for r in got.collect()}
     assert all(p[f"true{k}"] > 0.9 > 0.2 > p[f"lie{k}"] for k in range(40))
+
+
+def test_an_unreliable_source_is_outvoted(rows):
+    """Two rows a game: source g lists what the third source confirms, source h invents names and halls; g's values survive, though h's rows are later."""
+    made = []
+    for k in range(40):
+        base = {"content_key": f"k{k}", "match_name": "X - Y", "date_text": "d", "time_text": "t", "category": "c"}
+        good, bad = {"venue": f"Hall {k}", "referees": [f"Good {k}", "Ali Kaya"]}, {"venue": f"Barn {k}", "referees": [f"Bad {k}", "Can Su"]}
+        made += [{"id": 10 * k, **base, **good, "src_file": "g", "created_at": T[0]}, {"id": 10 * k + 1, **base, **bad, "src_file": "h", "created_at": T[2]}]
+        if k < 30:
+            made.append({"id": 10 * k + 2, **base, **good, "src_file": "f", "created_at": T[1]})
+    df = rows(SCHEMA, *made)
+    got = {r.group_id: r for r in survivors(df).collect()}
+    assert len(got) == 40
+    for k in range(40):
+        r = got[10 * k]
+        assert r.venue == f"Hall {k}" and f"Good {k}" in r.referees and f"Bad {k}" not in r.referees
+    # without the model's rounds all sources count alike, and the later row wins where two disagree
+    plain = {r.group_id: r for r in survivors(df, 0).collect()}
+    assert plain[390].venue == "Barn 39"
