@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,40 +115,56 @@ def push_message(title: Column, body: Column, kind: Column) -> Column:
     return F.to_json(F.struct(F.struct(title.alias("title"), body.alias("body")).alias("notification"), data.alias("data"), F.struct(F.lit("high").alias("priority")).alias("android")))
 
 
-def pair_events(events: DataFrame, max_group: int = 100_000) -> DataFrame:
-    """(user_id, kind, event_id, other_id): each user's cancellations paired with new assignments, greedily, one to one.
+def pair_events(events: DataFrame) -> DataFrame:
+    """(user_id, kind, event_id, other_id, other_queued): each user's cancellations paired with new assignments, greedily, one to one.
 
     events: (user_id, side 'cancel' | 'assign', event_id, content_key, fixture, day, queued boolean). In event
-    order a cancellation takes the first assignment of its content key or fixture (UPDATED), else the first of its
-    day (CHANGED), else stands alone (CANCELLED, unless it is queued already); assignments left over are ASSIGNED.
-    Consuming rows in order has no relational form; a user's events of one run are few and bounded by what one
-    person can be assigned, and a user beyond ``max_group`` is refused rather than gathered.
+    order, waiting cancellations last, a cancellation takes the first assignment of its content key or fixture
+    (UPDATED), else the first of its day (CHANGED), else stands alone (CANCELLED, unless it is queued already);
+    assignments left over are ASSIGNED. Consuming rows in order has no relational form: partitions sorted by user
+    stream past, and of one user at a time only the assignments still free are held, as ids under their keys.
     """
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_group:
-            raise ValueError(f"user {pdf['user_id'].iloc[0]} has {len(pdf)} events in one run")
-        pdf = pdf.sort_values("event_id")
-        free = {r.event_id: r for r in pdf[pdf["side"] == "assign"].itertuples()}
-        by: dict = {}
-        for r in free.values():
-            for k in (("k", r.content_key), ("f", r.fixture), ("d", r.day)):
-                if k[1] is not None and k[1] == k[1]:
-                    by.setdefault(k, []).append(r.event_id)
-        out = []
-        for c in pdf[pdf["side"] == "cancel"].itertuples():
-            near = [e for k in (("k", c.content_key), ("f", c.fixture)) for e in by.get(k, ()) if e in free]
-            day = [e for e in by.get(("d", c.day), ()) if e in free]
-            if near or day:
-                e = min(near) if near else min(day)
-                free.pop(e)
-                out.append((c.user_id, "UPDATED" if near else "CHANGED", e, c.event_id))
-            elif not c.queued:
-                out.append((c.user_id, "CANCELLED", c.event_id, None))
-        out += [(r.user_id, "ASSIGNED", e, None) for e, r in free.items()]
-        return pd.DataFrame(out, columns=["user_id", "kind", "event_id", "other_id"]).astype({"other_id": "Int64"})
-
-    return events.groupBy("user_id").applyInPandas(pair, "user_id long, kind string, event_id long, other_id long")
+    sides = ["user_id", "side", ((F.col("side") == "cancel") & F.coalesce("queued", F.lit(False))).alias("queued"), "event_id", "content_key", "fixture", "day"]
+    ordered = events.where("user_id IS NOT NULL").select(*sides).repartition("user_id").sortWithinPartitions("user_id", "side", "queued", "event_id")
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, free, by, out = None, {}, {}, []
+
+        def first(key: tuple) -> int | None:
+            line = by.get(key)
+            while line and line[0] not in free:
+                line.popleft()
+            return line[0] if line else None
+
+        def rows() -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=["user_id", "kind", "event_id", "other_id", "other_queued"]).astype({"other_id": "Int64"})
+            out.clear()
+            return made
+
+        for pdf in batches:
+            clean = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in ("user_id", "side", "queued", "event_id", "content_key", "fixture", "day")]
+            for u, side, queued, event, content, fixture, day in zip(*clean):
+                if u != user:
+                    out += [(user, "ASSIGNED", e, None, False) for e in free]
+                    user, free, by = u, {}, {}
+                keys = [(k, v) for k, v in (("k", content), ("f", fixture), ("d", day)) if v is not None]
+                if side == "assign":
+                    free[event] = True
+                    for k in keys:
+                        by.setdefault(k, deque()).append(event)
+                    continue
+                near = min((e for k in keys if k[0] != "d" and (e := first(k)) is not None), default=None)
+                taken = near if near is not None else next((e for k in keys if k[0] == "d" and (e := first(k)) is not None), None)
+                if taken is not None:
+                    del free[taken]
+                    out.append((u, "UPDATED" if near is not None else "CHANGED", taken, event, queued))
+                elif not queued:
+                    out.append((u, "CANCELLED", event, None, False))
+            yield rows()
+        out += [(user, "ASSIGNED", e, None, False) for e in free]
+        yield rows()
+
+    return ordered.mapInPandas(pair, "user_id long, kind string, event_id long, other_id long, other_queued boolean")
 
 
 def first_of_each(planned: DataFrame, order: str = "event_id") -> DataFrame:
