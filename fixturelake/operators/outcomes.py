@@ -131,4 +131,11 @@ def moved_keys(rows: DataFrame, file_keys: DataFrame, file: Column) -> DataFrame
     return elsewhere.select("content_key").distinct().join(file_keys.select("content_key").distinct(), "content_key", "left_anti")
 
 
-__all__ = ["CREWS", "apply_outcomes", "cancel_missing", "canonical_in_pool", "cancellation_safe", "decide", "listed_in", "moved_keys"]
+def key_sides(before: DataFrame, after: DataFrame, key: str = "content_key") -> DataFrame:
+    """(key, side): keys that are gone, new or in both of two deliveries; null keys are in neither."""
+    tag = lambda df, k: df.where(F.col(key).isNotNull()).select(key, F.lit(k).alias("_side"))
+    seen = tag(before, 1).unionByName(tag(after, 2)).groupBy(key).agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
+    return seen.select(key, F.when(F.col("_lo") < F.col("_hi"), "both").when(F.col("_lo") == 1, "gone").otherwise("new").alias("side"))
+
+
+__all__ = ["CREWS", "apply_outcomes", "cancel_missing", "canonical_in_pool", "cancellation_safe", "decide", "key_sides", "listed_in", "moved_keys"]

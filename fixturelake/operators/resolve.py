@@ -112,6 +112,22 @@ def resolve_similar(cells: DataFrame, profiles: DataFrame) -> DataFrame:
     return ranked.where((F.col("_r") == 1) & clear).select("cell", "user_id", "similarity")
 
 
+def last_events(events: DataFrame) -> DataFrame:
+    """(user_id, content_key, last_at): when each user was last assigned to each identity; null identities belong to none."""
+    return events.where("content_key IS NOT NULL").groupBy("user_id", "content_key").agg(F.max("created_at").alias("last_at"))
+
+
+def not_cancelled_since(last: DataFrame, sent: DataFrame) -> DataFrame:
+    """Of last_events those after which no cancellation (user_id, content_key, sent_at) was sent."""
+    latest = sent.groupBy("user_id", "content_key").agg(F.max("sent_at").alias("_sent"))
+    return last.join(latest, ["user_id", "content_key"], "left").where("_sent IS NULL OR _sent <= last_at OR last_at IS NULL").drop("_sent")
+
+
+def with_new_flag(assigned: DataFrame, last: DataFrame) -> DataFrame:
+    """assigned (user_id, content_key, ...) with is_new: whether the user wasn't on the identity before."""
+    return assigned.join(last.select("user_id", "content_key", F.lit(True).alias("_had")), ["user_id", "content_key"], "left").withColumn("is_new", F.col("_had").isNull()).drop("_had")
+
+
 def build_assignments(rows: DataFrame, profiles: DataFrame, existing: DataFrame, sent_cancels: DataFrame | None = None) -> DataFrame:
     """(user_id, match_id, role, name_in_sheet, is_new): assignments of a delivery.
 
@@ -126,9 +142,8 @@ def build_assignments(rows: DataFrame, profiles: DataFrame, existing: DataFrame,
     owners = exact.where("NOT ambiguous").select("cell", "user_id").unionByName(resolve_similar(open_cells, profiles).select("cell", "user_id"))
     placed = cells.join(owners, "cell").groupBy("id", "user_id").agg(F.min_by(F.struct("crew", "cell"), F.struct("crew", "pos")).alias("f"))
     named = placed.select(F.col("id").alias("match_id"), "user_id", F.element_at(F.array(*map(F.lit, ROLES)), F.col("f.crew") + 1).alias("role"), F.col("f.cell").alias("name_in_sheet"))
-    last = existing.where("content_key IS NOT NULL").groupBy("user_id", "content_key").agg(F.max("created_at").alias("_last"))
+    last = last_events(existing)
     if sent_cancels is not None:
-        sent = sent_cancels.select("user_id", "content_key", "sent_at")
-        last = last.join(sent, (last.user_id == sent.user_id) & (last.content_key == sent.content_key) & (sent.sent_at > last["_last"]), "left_anti")
+        last = not_cancelled_since(last, sent_cancels)
     keyed = named.join(rows.select(F.col("id").alias("match_id"), "content_key"), "match_id")
-    return keyed.join(last, ["user_id", "content_key"], "left").select("user_id", "match_id", "role", "name_in_sheet", F.col("_last").isNull().alias("is_new"))
+    return with_new_flag(keyed, last).select("user_id", "match_id", "role", "name_in_sheet", "is_new")

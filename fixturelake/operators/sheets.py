@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fixturelake.functions.days import day_fraction, serial_day
 from fixturelake.functions.keys import is_nameless
 from fixturelake.functions.text import SPACE, collapse, key_part, lower_tr, normalize_tr, trim
+from fixturelake.session import broadcast_checked
 
 #: Non-empty rows of a sheet among which its header is sought.
 HEADER_DEPTH = 20
@@ -143,7 +144,7 @@ def parse_cells(cells: DataFrame) -> DataFrame:
     rows = rows.where(F.exists("cells", lambda c: c != ""))
     enough = rows.groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").drop("_n")
     rows = rows.join(enough, ["file", "sheet"], "left_semi")
-    body = rows.join(F.broadcast(header_rows(rows)), ["file", "sheet"]).where("row_no > header_row AND size(cells) >= 3")
+    body = rows.join(broadcast_checked(header_rows(rows)), ["file", "sheet"]).where("row_no > header_row AND size(cells) >= 3")
     body = body.where(F.exists("cells", lambda c: trim(c) != ""))
 
     row_date, row_venue = _first("date"), clean_date_prefix(_first("venue"))

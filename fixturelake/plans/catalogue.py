@@ -6,15 +6,16 @@ from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixturelake.functions import days, keys, text
 from fixturelake.operators import consolidate, merge, notices, outbox, outcomes, resolve, sheets
 from fixturelake.operators.instants import unusual, with_instant
 from fixturelake.operators.snapshots import snapshot_changes
+from fixturelake.plans import lifecycle
 from fixturelake.plans.oracle import oracle_sql as _oracle_sql
 from fixturelake.session import read_table
+from fixturelake.sources import folders, sinks, values
 
 #: "Now" of every query: always an explicit value, so results can be reproduced.
 NOW = datetime(2025, 11, 1, 12, 0)
@@ -92,8 +93,7 @@ def q05_canonical_in_pool(spark, d):
 
 
 def q06_carry_forward(spark, d):
-    w = W.partitionBy("src_file", "src_sheet").orderBy("src_row", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return _rows(spark, d).select("id", F.last("venue", ignorenulls=True).over(w).alias("venue"))
+    return sheets.parse_cells(_as_cells(read_table(spark, d, "matches"))).select("src_sheet", "src_row", "venue", "date_text")
 
 
 def q07_group_ordinal(spark, d):
@@ -115,16 +115,14 @@ def q08_consolidated(spark, d):
 
 
 def q09_snapshot_diff(spark, d):
-    a, b = (_snapshot(spark, d, last).select("content_key") for last in (False, True))
-    gone = a.join(b, "content_key", "left_anti").withColumn("side", F.lit("gone"))
-    new = b.join(a, "content_key", "left_anti").withColumn("side", F.lit("new"))
-    return gone.unionByName(new).unionByName(a.join(b, "content_key", "left_semi").withColumn("side", F.lit("both")))
+    return outcomes.key_sides(*(_snapshot(spark, d, last) for last in (False, True)))
 
 
 def q10_moved_semi(spark, d):
-    a, b = (_snapshot(spark, d, last).select("content_key", "src_file") for last in (False, True))
-    other = b.withColumnRenamed("src_file", "now_in")
-    return a.join(other, (a.content_key == other.content_key) & (a.src_file != other.now_in), "left_semi")
+    last = _snapshot(spark, d, True)
+    file = last.agg(F.min("src_file").alias("_file"))
+    here = last.join(F.broadcast(file), F.col("src_file") == F.col("_file"), "left_semi")
+    return outcomes.moved_keys(last.crossJoin(F.broadcast(file)), here, F.col("_file"))
 
 
 def q11_change_detection(spark, d):
@@ -141,7 +139,7 @@ def q12_upsert_reopen(spark, d):
 
 def q12_upsert_fixtures(spark, d):
     parsed = read_table(spark, d, "matches").drop("rec_id", "seen_at")
-    return merge.upsert_fixtures(_rows(spark, d), parsed, NOW).select("id", "match_key", "content_key", "cancelled_at")
+    return merge.upsert_fixtures(_rows(spark, d), parsed, NOW).select("match_key", "content_key", "cancelled_at")
 
 
 def _decided(spark, d, a):
@@ -251,18 +249,17 @@ def _with_key(spark, d):
 
 
 def q27_last_event_per_key(spark, d):
-    return _with_key(spark, d).groupBy("user_id", "content_key").agg(F.max("created_at").alias("last_at"))
+    return resolve.last_events(_with_key(spark, d))
 
 
 def q28_inequality_anti(spark, d):
-    last = q27_last_event_per_key(spark, d)
-    sent = _rows(spark, d).where("cancelled_at IS NOT NULL").select(F.col("content_key").alias("k"), "cancelled_at")
-    return last.join(sent, (last.content_key == sent.k) & (sent.cancelled_at > last.last_at), "left_anti")
+    sent = _with_key(spark, d).where("cancelled_at IS NOT NULL").select("user_id", "content_key", F.col("cancelled_at").alias("sent_at"))
+    return resolve.not_cancelled_since(q27_last_event_per_key(spark, d), sent)
 
 
 def q29_is_new_flag(spark, d):
-    w = W.partitionBy("user_id", "content_key").orderBy("created_at", "id")
-    return _with_key(spark, d).select("id", (F.row_number().over(w) == 1).alias("is_new"))
+    keyed, since = _with_key(spark, d), F.lit(datetime(2025, 10, 1)).cast("timestamp_ntz")
+    return resolve.with_new_flag(keyed.where(F.col("created_at") >= since), resolve.last_events(keyed.where(F.col("created_at") < since))).select("id", "is_new")
 
 
 def q30_multiset_diff(spark, d):
@@ -339,7 +336,8 @@ def q36_delivery_rows(spark, d):
 
 
 def q37_partition_diff(spark, d):
-    rows = _rows(spark, d).withColumn("key", keys.content_key())
+    """Identities without crews against identities with them."""
+    rows = _rows(spark, d).withColumn("key", keys.match_key())
     split, merged = merge.partition_diff(rows, "content_key", "key")
     return split.select(F.col("content_key").alias("group_key"), F.lit("split").alias("kind"), "n").unionByName(merged.select(F.col("key").alias("group_key"), F.lit("merged").alias("kind"), "n"))
 
@@ -373,9 +371,10 @@ def q41_fingerprint(spark, d):
 
 
 def q42_latest_partition(spark, d):
-    f = read_table(spark, d, "files").withColumn("season", F.nullif(F.regexp_extract("name", r"(\d{4})-(\d{4})", 0), F.lit(""))).where("season IS NOT NULL")
-    top = f.agg(F.max(F.substring("season", 1, 4).cast("int")).alias("y"))
-    return f.join(F.broadcast(top), F.substring("season", 1, 4).cast("int") == F.col("y")).select("file_id", "season")
+    f = read_table(spark, d, "files")
+    top = folders.latest_season(f, "name").select("start")
+    of = folders.seasons(f, "name").join(F.broadcast(top), "start")
+    return f.join(of, "name").select("file_id", F.concat_ws("-", "start", "end").alias("season"))
 
 
 def _as_cells(m: DataFrame) -> DataFrame:
@@ -401,7 +400,7 @@ def q43_parse_cells(spark, d):
 def q44_announcement_agg(spark, d):
     a = read_table(spark, d, "assignments").where("user_id IS NOT NULL")
     gone = _rows(spark, d).where("cancelled_at IS NOT NULL").select(F.col("id").alias("match_id"))
-    return a.join(gone, "match_id").groupBy("match_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("user_id")), lambda x: x.cast("string")), ",").alias("user_ids"))
+    return sinks.announcements(a.join(gone, "match_id"), NOW).select("match_id", F.col("targets").alias("user_ids"))
 
 
 def q45_url_parse(spark, d):
@@ -457,6 +456,32 @@ def q55_renamed_moves(spark, d):
     return consolidate.renamed_moves(read_table(spark, d, "assignments"), listed).select("id", "match_id")
 
 
+def _run(spark, d):
+    """Assignments on active, cancelled and changed fixtures as the events of one run."""
+    state = F.struct(*TEXTS, "category", "league_type", "sub_category", *keys.CREWS)
+    on = read_table(spark, d, "assignments").where("user_id IS NOT NULL").join(_rows(spark, d).select(F.col("id").alias("match_id"), "content_key", "cancelled_at", state.alias("state")), "match_id")
+    on = on.select("user_id", F.col("id").alias("event_id"), "content_key", "state", "cancelled_at")
+    changed = _states(spark, d).select("content_key", *(F.struct(*(F.col(f"{x}.{c}").alias(c) for c in (*TEXTS, "category", "league_type", "sub_category", *keys.CREWS))).alias(y) for x, y in (("o", "old"), ("n", "new"))))
+    stays = on.where("cancelled_at IS NULL").join(changed, "content_key")
+    return {"assigned": on.where("cancelled_at IS NULL").join(changed, "content_key", "left_anti").drop("cancelled_at"), "cancelled": on.where("cancelled_at IS NOT NULL").drop("cancelled_at"), "shifted": stays.select("user_id", "event_id", "content_key", "old", F.col("new").alias("state"))}
+
+
+def q56_run_notices(spark, d):
+    run = _run(spark, d)
+    plan = lifecycle.plan_notices(run["assigned"], run["cancelled"], run["shifted"], run["cancelled"].limit(0), datetime(2015, 1, 1))
+    return plan["planned"].select("kind", "user_id", "content_key", "event_id", "lines")
+
+
+def q57_tab_values(spark, d):
+    """Days as serial numbers and times as parts of a day, as a tab of raw values holds them, read back as texts."""
+    m = read_table(spark, d, "match_rows").where("match_date IS NOT NULL")
+    number = lambda c: F.struct(F.lit(None).cast("string").alias("text"), c.cast("double").alias("number"))
+    word = lambda c: F.struct(c.cast("string").alias("text"), F.lit(None).cast("double").alias("number"))
+    body = m.select(F.lit("t").alias("title"), F.concat(F.lit("tab"), F.floor(F.col("id") / 4000)).alias("tab"), (F.col("id") % 4000 + 2).cast("int").alias("row_no"), F.array(number(F.datediff("match_date", F.lit(date(1899, 12, 30)))), number((F.col("id") % 96) / 96), word(F.col("match_name"))).alias("values"))
+    head = body.select("title", "tab").distinct().select("title", "tab", F.lit(1).alias("row_no"), F.array(*(word(F.lit(x)) for x in ("TARİH", "SAAT", "MAÇ"))).alias("values"))
+    return values.tab_cells(head.unionByName(body)).where("row_no > 1").select("sheet", "row_no", F.col("cells")[0].alias("day"), F.col("cells")[1].alias("clock"), F.col("cells")[2].alias("name"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] in "pq" and n[1:2].isdigit()}
 

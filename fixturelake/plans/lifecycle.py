@@ -34,7 +34,7 @@ def run_delivery(cells: DataFrame, store: dict[str, DataFrame], now: datetime, c
     assignments = durable(merge.upsert(store["assignments"], known.unionByName(fresh, allowMissingColumns=True), ["user_id", "match_id"], ["role", "name_in_sheet"]))
 
     touched = consolidate.active(store["rows"]).join(here.select("src_file").distinct(), "src_file", "left_semi").select("id")
-    gone = store["rows"].join(here.select("src_file").distinct(), "src_file", "left_semi").select("content_key").distinct().join(here.select("content_key").distinct(), "content_key", "left_anti")
+    gone = outcomes.key_sides(store["rows"].join(here.select("src_file").distinct(), "src_file", "left_semi"), here).where("side = 'gone'").select("content_key")
     moved = consolidate.active(rows).join(here.select("src_file").distinct(), "src_file", "left_anti").select("content_key").distinct().join(gone, "content_key", "left_semi")
     named = assignments.join(people.groupBy("user_id").agg(F.min(F.struct("first_name", "last_name")).alias("n")).select("user_id", "n.*"), "user_id", "left")
     checked = named.join(touched.select(F.col("id").alias("match_id")), "match_id", "left_semi")

@@ -105,18 +105,36 @@ def oracle_sql() -> dict[str, str]:
     rolled = f"(make_date({g(3)}, {g(2)}, 1) + ({g(1)} - 1))"
     fields = [("date", [0]), ("time", [1]), ("venue", [2]), ("team", [3]), ("category", [4]), ("group", [5]), ("referee", [6, 7]), ("table", [8]), ("observer", [9])]
     sides = lambda t: f"(SELECT content_key, src_file FROM {t})"
+    prefix = lambda c: trim(rf"regexp_replace({c}, '^{SPACE}*(?:\\d{{1,2}}[./-]\\d{{1,2}}[./-]\\d{{4}}{SPACE}*(?:-{SPACE}*)?|-{SPACE}*)', '')")
+    seats = ", ".join(f"coalesce({c}, '')" for c in ("date_text", "time_text", "venue", "match_name", "category", "group_name", "referees[1]", "referees[2]", "table_officials[1]", "observers[1]"))
+    cells = rf"""c AS (SELECT src_file AS file, src_sheet AS sheet, CAST(rec_id + 1 AS INT) AS row_no, coalesce(date_text, '') AS d, {prefix("coalesce(venue, '')")} AS v, coalesce(match_name, '') AS n,
+                [x FOR x IN [coalesce(referees[1], ''), coalesce(referees[2], '')] IF length(x) > 2] AS referees, list_filter([{seats}], lambda x: regexp_matches(x, '\d{{1,2}}\s*[./-]\s*\d{{1,2}}\s*[./-]\s*\d{{4}}'))[1] AS found FROM matches),
+            k AS (SELECT *, CASE WHEN regexp_matches(d, '\d') THEN d WHEN d = '' THEN {trim("found")} END AS cd, CASE WHEN length(v) > 2 THEN v END AS cv FROM c),
+            l AS (SELECT *, file AS name, last_value(cd IGNORE NULLS) OVER w AS ld, last_value(cv IGNORE NULLS) OVER w AS lv FROM k WINDOW w AS (PARTITION BY file, sheet ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+            parsed AS (SELECT sheet AS src_sheet, row_no AS src_row, {prefix("n")} AS match_name, CASE WHEN d <> '' THEN d ELSE coalesce(ld, '') END AS date_text, CASE WHEN v <> '' THEN v ELSE coalesce(lv, '') END AS venue,
+                try_cast(nullif(regexp_extract(name, '(?i)(\d+)\.?\s*hafta', 1), '') AS INT) AS week, {league} AS league_type, referees FROM l WHERE length(n) > 1)"""
     return {
         "p4_found": _CHANGES,
+        "p4_changes": _CHANGES.replace("AS change_kind", "AS change_kind, coalesce(len(o), 0) AS n_before, coalesce(len(n), 0) AS n_after"),
+        "q57_tab_values": f"""SELECT 'tab' || CAST(id // 4000 AS VARCHAR) AS sheet, CAST(id % 4000 + 2 AS INT) AS row_no, strftime(match_date, '%d.%m.%Y') AS day, lpad(CAST((id % 96) // 4 AS VARCHAR), 2, '0') || ':' || lpad(CAST((id % 4) * 15 AS VARCHAR), 2, '0') AS clock, {trim("coalesce(match_name, '')")} AS name
+            FROM match_rows WHERE match_date IS NOT NULL""",
+        "q55_renamed_moves": f"WITH {ACTIVE}, {CANON}, w AS (SELECT DISTINCT r.id AS from_id, c.canonical_id AS to_id FROM match_rows r JOIN canon c ON c.content_key = r.content_key WHERE r.cancelled_at IS NOT NULL) SELECT x.id, coalesce(w.to_id, x.match_id) AS match_id FROM assignments x LEFT JOIN w ON w.from_id = x.match_id",
+        "q08_consolidated": f"""WITH plan AS ({PLAN}), m AS (SELECT x.id, x.user_id, CASE WHEN p.action = 'MOVE' THEN p.canonical_id ELSE x.match_id END AS match_id, coalesce(p.action = 'MOVE', false) AS came FROM assignments x LEFT JOIN plan p ON p.assignment_id = x.id
+                WHERE coalesce(p.action, '') NOT IN ('DELETE_DUPE', 'DELETE_ON_SIBLING')),
+            r AS (SELECT *, row_number() OVER (PARTITION BY user_id, match_id, CASE WHEN user_id IS NULL THEN id END ORDER BY came, id) AS rn FROM m) SELECT id, match_id FROM r WHERE rn = 1""",
+        "q12_upsert_fixtures": f"""WITH f AS (SELECT {CREW_KEY} AS match_key, {CONTENT} AS content_key, row_number() OVER (PARTITION BY {CREW_KEY} ORDER BY src_file DESC, src_row DESC) AS rn FROM matches), n AS (SELECT * FROM f WHERE rn = 1)
+            SELECT coalesce(r.match_key, n.match_key) AS match_key, CASE WHEN n.match_key IS NULL THEN r.content_key ELSE n.content_key END AS content_key, CASE WHEN n.match_key IS NULL THEN r.cancelled_at END AS cancelled_at FROM match_rows r FULL JOIN n ON n.match_key = r.match_key""",
+        "q43_parse_cells": f"WITH {cells} SELECT * FROM parsed",
         "q01_content_key": f"SELECT id, {CONTENT} AS key FROM match_rows",
         "q02_crew_key": f"SELECT id, {CREW_KEY} AS key, {COUNT} AS n FROM match_rows",
         "q03_duplicate_groups": "SELECT content_key, count(*) AS n FROM match_rows WHERE cancelled_at IS NULL AND content_key IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
         "q04_canonical_row": f"WITH {ACTIVE}, {CANON} SELECT content_key, canonical_id FROM canon",
         "q05_canonical_in_pool": f"SELECT content_key, arg_max(id, (cancelled_at IS NULL, {COUNT}, id)) AS canonical_id FROM match_rows WHERE content_key IS NOT NULL GROUP BY 1",
-        "q06_carry_forward": "SELECT id, last_value(venue IGNORE NULLS) OVER (PARTITION BY src_file, src_sheet ORDER BY src_row NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS venue FROM match_rows",
+        "q06_carry_forward": f"WITH {cells} SELECT src_sheet, src_row, venue, date_text FROM parsed",
         "q07_group_ordinal": f"SELECT rec_id, CAST(CASE WHEN {NAMELESS} THEN row_number() OVER (PARTITION BY src_file, {part('date_text')}, {part('time_text')}, {part('venue')}, {NAMELESS} ORDER BY src_row NULLS FIRST, rec_id) - 1 ELSE src_row END AS INT) AS src_row FROM matches",
         "q08_consolidation_plan": PLAN,
         "q09_snapshot_diff": f"WITH {SNAP} SELECT coalesce(f.content_key, l.content_key) AS content_key, CASE WHEN l.content_key IS NULL THEN 'gone' WHEN f.content_key IS NULL THEN 'new' ELSE 'both' END AS side FROM fst f FULL JOIN lst l ON f.content_key = l.content_key",
-        "q10_moved_semi": f"WITH {SNAP} SELECT f.content_key, f.src_file FROM {sides('fst')} f WHERE EXISTS (SELECT 1 FROM lst l WHERE l.content_key = f.content_key AND l.src_file <> f.src_file)",
+        "q10_moved_semi": f"WITH {SNAP}, f AS (SELECT min(src_file) AS file FROM lst) SELECT DISTINCT content_key FROM lst, f WHERE cancelled_at IS NULL AND src_file IS DISTINCT FROM file AND content_key NOT IN (SELECT content_key FROM lst, f WHERE src_file = file)",
         "q11_change_detection": "SELECT file_id, last_md5 IS NULL OR CASE WHEN mime = 'application/vnd.google-apps.spreadsheet' THEN coalesce(modified > date_trunc('day', modified), true) ELSE coalesce(md5 <> '' AND md5 IS DISTINCT FROM last_md5, false) END AS process FROM files",
         "q12_upsert_reopen": f"""WITH {SNAP} SELECT r.id, coalesce(r.content_key, l.content_key) AS content_key, CASE WHEN l.content_key IS NULL THEN r.venue ELSE l.venue END AS venue,
             CASE WHEN l.content_key IS NULL THEN r.time_text ELSE l.time_text END AS time_text, CASE WHEN l.content_key IS NULL THEN r.cancelled_at ELSE l.cancelled_at END AS cancelled_at FROM match_rows r FULL JOIN lst l ON r.content_key = l.content_key""",
@@ -149,8 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "q25_role_of_name": "SELECT x.id, CASE " + " ".join(f"WHEN list_contains(r.{c}, x.name_in_sheet) THEN '{v}'" for c, v in zip(CREWS, ROLES)) + " END AS role FROM assignments x JOIN match_rows r ON r.id = x.match_id",
         "q26_profile_union": "SELECT user_id, first_name, last_name FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY kind = 'REFEREE' DESC, first_name DESC NULLS LAST, last_name DESC NULLS LAST) AS rn FROM profiles) WHERE rn = 1",
         "q27_last_event_per_key": f"WITH {KEYED} SELECT user_id, content_key, max(created_at) AS last_at FROM keyed GROUP BY 1, 2",
-        "q28_inequality_anti": f"WITH {KEYED}, l AS (SELECT user_id, content_key, max(created_at) AS last_at FROM keyed GROUP BY 1, 2) SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM match_rows r WHERE r.content_key = l.content_key AND r.cancelled_at > l.last_at)",
-        "q29_is_new_flag": f"WITH {KEYED} SELECT id, row_number() OVER (PARTITION BY user_id, content_key ORDER BY created_at NULLS FIRST, id) = 1 AS is_new FROM keyed",
+        "q28_inequality_anti": f"WITH {KEYED}, l AS (SELECT user_id, content_key, max(created_at) AS last_at FROM keyed GROUP BY 1, 2) SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM keyed k WHERE k.user_id = l.user_id AND k.content_key = l.content_key AND k.cancelled_at > l.last_at)",
+        "q29_is_new_flag": f"WITH {KEYED} SELECT id, NOT EXISTS (SELECT 1 FROM keyed o WHERE o.user_id = k.user_id AND o.content_key = k.content_key AND o.created_at < TIMESTAMP '2025-10-01') AS is_new FROM keyed k WHERE created_at >= TIMESTAMP '2025-10-01'",
         "q30_multiset_diff": f"WITH {SNAP} SELECT f.content_key, list_filter(coalesce(f.referees, []), lambda x: NOT list_contains(coalesce(l.referees, []), x)) AS went, list_filter(coalesce(l.referees, []), lambda x: NOT list_contains(coalesce(f.referees, []), x)) AS came FROM fst f JOIN lst l ON f.content_key = l.content_key",
         "q33_confirm_queue": f"""WITH q AS (SELECT x.id, x.user_id, r.content_key, CASE WHEN r.cancelled_at IS NULL THEN 'ASSIGNED' ELSE 'CANCELLED' END AS kind, {begun('r.date_text', 'r.time_text')} AS b FROM assignments x JOIN match_rows r ON r.id = x.match_id WHERE x.user_id IS NOT NULL),
             c AS (SELECT q.*, EXISTS (SELECT 1 FROM assignments y JOIN match_rows r ON r.id = y.match_id WHERE y.user_id = q.user_id AND r.content_key = q.content_key AND r.cancelled_at IS NULL) AS o FROM q)
@@ -160,7 +178,7 @@ def oracle_sql() -> dict[str, str]:
         "q35_retry_schedule": "WITH t AS (SELECT match_id, CAST(count(*) AS INT) AS attempt, max(created_at) AS last_at FROM assignments GROUP BY 1) SELECT match_id, attempt, CASE WHEN attempt > 5 THEN 'FAILED' ELSE 'PENDING' END AS status, last_at + to_minutes([1, 2, 5, 15, 30][attempt]) AS due_at FROM t",
         "q36_delivery_class": f"WITH {TOKENS} SELECT user_id, outcome, n_tokens, nullif(error_codes, '') AS error_codes FROM cls",
         "q36_delivery_rows": f"WITH {TOKENS} SELECT u.id AS user_id, CASE WHEN outcome IS NULL THEN 'NO_TOKEN' WHEN outcome = 'delivered' THEN CASE WHEN u.push_permission = 'denied' THEN 'PERMISSION_DENIED' ELSE 'DELIVERED' END WHEN outcome = 'transient' THEN 'TRANSIENT_FAIL' ELSE 'PERMANENT_FAIL' END AS status, coalesce(n_tokens, 0) AS n_tokens, nullif(error_codes, '') AS error_codes FROM users u LEFT JOIN cls c ON c.user_id = u.id",
-        "q37_partition_diff": f"WITH p AS (SELECT DISTINCT content_key AS o, {CONTENT} AS n FROM match_rows WHERE content_key IS NOT NULL) SELECT o AS group_key, 'split' AS kind, count(*) AS n FROM p GROUP BY o HAVING count(*) > 1 UNION ALL SELECT n, 'merged', count(*) FROM p GROUP BY n HAVING count(*) > 1",
+        "q37_partition_diff": f"WITH p AS (SELECT DISTINCT content_key AS o, {CREW_KEY} AS n FROM match_rows WHERE content_key IS NOT NULL) SELECT o AS group_key, 'split' AS kind, count(*) AS n FROM p GROUP BY o HAVING count(*) > 1 UNION ALL SELECT n, 'merged', count(*) FROM p GROUP BY n HAVING count(*) > 1",
         "q38_slot_duplicates": f"WITH {ACTIVE}, {CANON} SELECT date_text, time_text, venue, count(*) AS n_keys, arg_max(r.id, (NOT {placeholder}, {COUNT}, r.created_at, -r.id)) AS canonical_id FROM canon c JOIN act r ON r.id = c.canonical_id WHERE date_text IS NOT NULL AND time_text IS NOT NULL AND venue IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1",
         "q39_category_counts": "WITH c AS (SELECT user_id, coalesce(category, '') AS category, count(*) AS n FROM assignments x JOIN match_rows r ON r.id = x.match_id WHERE user_id IS NOT NULL GROUP BY 1, 2) SELECT user_id, list(category || '=' || n ORDER BY category) AS categories FROM c GROUP BY 1",
         "q40_cutoff_filter": f"WITH t AS (SELECT rec_id, {day('date_text')} AS day FROM matches) SELECT rec_id, day, CASE WHEN month(day) >= 8 THEN year(day) || '-' || (year(day) + 1) WHEN day IS NOT NULL THEN (year(day) - 1) || '-' || year(day) ELSE '' END AS season_key FROM t WHERE day IS NULL OR day >= DATE '2025-08-01'",

@@ -139,6 +139,10 @@ def test_a_whole_delivery(spark, data):
     assert lifecycle.run_consolidation(store, datetime(2025, 9, 1))["assignments"].count() <= store["assignments"].count()
 
 
+#: No slot of the smallest tables is taken twice by rows that name each other's people.
+NOTHING_HERE = {"q38_slot_moves"}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, data, name):
     df = catalogue.queries()[name](spark, data)
@@ -146,4 +150,7 @@ def test_query(spark, data, name):
     if sql:
         compare(df, views(data), sql)
     else:
-        assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+        # no SQL says what these give: each has tests of its own against brute force or described cases
+        rows = df.collect()
+        assert len(set(df.columns)) == len(df.columns) and (name in NOTHING_HERE) == (not rows)
+        assert sorted(map(repr, rows)) == sorted(map(repr, catalogue.queries()[name](spark, data).collect()))
