@@ -24,7 +24,11 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ι": "ı", "ϳ": "j", "α": "a", "ρ": "p", "υ": "u", "κ": "k",
     "χ": "x", "Ϲ": "C", "ϲ": "c", "Ϳ": "J",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
+    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "Օ": "O", "օ": "o", "Ս": "U", "ս": "u", "հ": "h", "ո": "n", "Տ": "S",
 }
+#: Latin letters of other uses that show a common one.
+LATIN_ALIKE = {"ɑ": "a", "ɡ": "g", "ɩ": "ı"}
 #: Letters with the wrong mark for the mark this alphabet uses, and dashes that are hyphens.
 WRONG_MARKS = {"Ǧ": "Ğ", "ǧ": "ğ", "Ș": "Ş", "ș": "ş", "Ț": "Ţ", "ț": "ţ", "Ĭ": "İ", "ŭ": "ü", "‐": "-", "‑": "-", "−": "-", "﹣": "-", "⁃": "-"}
 MARKS = "̧̨̦̀́̂̃̄̆̇̈̊̋̌"
@@ -44,7 +48,7 @@ def tables() -> tuple[tuple[str, str], tuple[str, str]]:
         elif how.startswith(("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>")) and (cat[0] in "LNP" or how[1:5] in ("wide", "narr")):
             if len(to := unicodedata.normalize("NFKC", c)) == 1:
                 compat[c] = to
-    compat |= WRONG_MARKS
+    compat |= WRONG_MARKS | LATIN_ALIKE
     alike = dict(LOOKALIKES)
     for c, latin in LOOKALIKES.items():
         for m in MARKS:
@@ -55,13 +59,21 @@ def tables() -> tuple[tuple[str, str], tuple[str, str]]:
     return quoted(compat), quoted(alike)
 
 
+@lru_cache(maxsize=1)
+def written_as_one() -> list[tuple[str, str]]:
+    """Characters that show several plain letters side by side (ligatures, Roman numerals), by rule from the character database."""
+    both = ((c, unicodedata.normalize("NFKC", c)) for c in map(chr, range(0xA0, 0x10000)) if unicodedata.decomposition(c).startswith("<compat>"))
+    return [(c, to) for c, to in both if 2 <= len(to) <= 4 and to.isascii() and to.isalpha()]
+
+
 @lru_cache(maxsize=8)
 def unify_sql(table: str = "batch", text: str = "s", order: str = "i") -> str:
     """SQL giving each row's text in one form, in the order of ``order``."""
     (cf, ct), (af, at) = tables()
     ligatures = text
-    for one, many in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+    for one, many in written_as_one():
         ligatures = f"replace({ligatures}, '{one}', '{many}')"
+    other = "\\p{Greek}\\p{Cyrillic}\\p{Cherokee}\\p{Armenian}"
     wrong = "".join(k for k in WRONG_MARKS if k.isalpha()), "".join(v for k, v in WRONG_MARKS.items() if k.isalpha())
     return f"""
 WITH visible AS (
@@ -74,15 +86,17 @@ WITH visible AS (
     SELECT i, raw, t, list_transform(segments, lambda seg: struct_pack(
         words := regexp_extract_all(seg, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'),
         own := list_filter(regexp_extract_all(seg, '[\\p{{L}}\\p{{M}}]+'), lambda w:
-            NOT regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(translate(w, '{af}', '{at}'), '[\\p{{Greek}}\\p{{Cyrillic}}]'))
+            NOT regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(translate(w, '{af}', '{at}'), '[{other}]'))
     )) AS segs FROM parts
 ), mapped AS (
     SELECT i, raw, array_to_string(flatten(list_transform(segs, lambda g: list_transform(g.words, lambda w:
-        CASE WHEN NOT regexp_matches(w, '[\\p{{Greek}}\\p{{Cyrillic}}]') THEN w
+        CASE WHEN NOT regexp_matches(w, '[{other}]') THEN w
              WHEN list_contains(g.own, w) THEN w
              WHEN regexp_matches(w, '\\p{{Latin}}') THEN translate(w, '{af}', '{at}')
              WHEN regexp_matches(w, '\\p{{Cyrillic}}') AND len(list_filter(g.own, lambda o: regexp_matches(o, '\\p{{Cyrillic}}'))) > 0 THEN w
              WHEN regexp_matches(w, '\\p{{Greek}}') AND len(list_filter(g.own, lambda o: regexp_matches(o, '\\p{{Greek}}'))) > 0 THEN w
+             WHEN regexp_matches(w, '\\p{{Cherokee}}') AND len(list_filter(g.own, lambda o: regexp_matches(o, '\\p{{Cherokee}}'))) > 0 THEN w
+             WHEN regexp_matches(w, '\\p{{Armenian}}') AND len(list_filter(g.own, lambda o: regexp_matches(o, '\\p{{Armenian}}'))) > 0 THEN w
              ELSE translate(w, '{af}', '{at}') END))), '') AS t
     FROM worded
 )

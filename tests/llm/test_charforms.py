@@ -7,9 +7,9 @@ from fixturelake.llm.charforms import hidden_forms, unify_strings, unify_text
 CASES = [
     ("ＳＫ － ＢＫ", "SK - BK"), ("ВАSКEТ", "BASKET"), ("ВК", "BK"), ("S.Κ.", "S.K."), ("K", "K"), ("ﬁ", "fi"),
     ("KÖ​PR­Ü﻿", "KÖPRÜ"), ("A B C　D", "A B C D"), ("gül ç", "gül ç"), ("İ", "İ"), ("i̇", "i"),
-    ("DÜZLÜǦÜ ș", "DÜZLÜĞÜ ş"), ("a ‑ b", "a - b"), ("ӧΪ", "öÏ"), ("Ѕ̧", "Ş"), ("ᵃ½", "ᵃ½"),
+    ("DÜZLÜǦÜ ș", "DÜZLÜĞÜ ş"), ("a ‑ b", "a - b"), ("ӧΪ", "öÏ"), ("Ѕ̧", "Ş"), ("ᵃ½", "ᵃ½"), ("Ꭺhmet ɑli", "Ahmet ali"), ("LİG Ⅳ", "LİG IV"), ("ⅻ. hafta", "xii. hafta"), ("ՍMUT", "UMUT"), ("ĳ", "ij"),
 ]
-KEPT = ["ДРУЖБИН ЩИТ - BK", "Φωλιά Ψαράδων", "Бджілія Жовтня", "a – b — c", "“x” ‘y’", "tab\tand\nline  ends", "IıİiŞş", "", "3x3 - 3x3", "😀 é"]
+KEPT = ["ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "Երևան", "ДРУЖБИН ЩИТ - BK", "Φωλιά Ψαράδων", "Бджілія Жовтня", "a – b — c", "“x” ‘y’", "tab\tand\nline  ends", "IıİiŞş", "", "3x3 - 3x3", "😀 é"]
 
 
 @pytest.mark.parametrize("raw,one", CASES)
