@@ -220,6 +220,11 @@ def read_time(text: str) -> tuple | None:
     return _clock(p, t)
 
 
+@lru_cache(maxsize=1)
+def _regions() -> dict[str, str]:
+    return {n.lower(): n for n in available_timezones()}
+
+
 class ZoneTables:
     """Transitions of zones over FIRST to LAST, taken once from one version of the zone data and shipped as arrays."""
 
@@ -232,6 +237,15 @@ class ZoneTables:
         tables = {n.lower(): cls._of(ZoneInfo(n)) for n in names}
         return cls(names, cls._version(), tables)
 
+    def table(self, zone: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The transitions of any region by its lower-case name; one that wasn't shipped is taken from the same version of the zone data once a cell names it."""
+        if zone not in self.tables:
+            name = _regions().get(zone)
+            if name and self._version() != self.version:
+                raise ValueError(f"zone data {self._version()} here, {self.version} where the tables were made")
+            self.tables[zone] = self._of(ZoneInfo(name)) if name else None
+        return self.tables[zone]
+
     @staticmethod
     def _version() -> str:
         for p in ("/usr/share/zoneinfo/tzdata.zi", "/usr/share/zoneinfo/+VERSION"):
@@ -264,7 +278,7 @@ class ZoneTables:
 
     def to_utc(self, zone: str, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTC seconds of wall seconds, and whether each wall time occurs exactly once."""
-        starts, offsets = self.tables[zone]
+        starts, offsets = self.table(zone)
         k = np.searchsorted(starts, wall - offsets.max(), "right") - 1
         found, utc = np.zeros(len(wall), dtype="int64"), np.zeros(len(wall), dtype="int64")
         for j in (0, 1, 2):
@@ -310,7 +324,7 @@ def to_instants(dates: list[str | None], times: list[str | None], zones: ZoneTab
             at.append(i)
             values.append(wall)
     for zone, (at, values) in walls.items():
-        if zone in zones.tables:
+        if zones.table(zone) is not None:
             wall = np.array(values)
             utc, once = zones.to_utc(zone, np.floor(wall).astype("int64"))
             out[at] = np.where(once, utc + (wall - np.floor(wall)), np.nan)

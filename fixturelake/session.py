@@ -16,12 +16,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process (tests)."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir()
     if there:
         return there
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fixturelake-"))
     return sc.getCheckpointDir()
 

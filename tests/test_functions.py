@@ -105,3 +105,13 @@ def test_one_edit(a, b):
 
 def test_small_enough(spark):
     assert small_enough(spark.range(5), 5) and not small_enough(spark.range(6), 5)
+
+
+@pytest.mark.parametrize("time,utc", [("18:30 America/New_York", "2025-07-05T22:30"), ("18:30 Asia/Tokyo", "2025-07-05T09:30"), ("18:30 Australia/Sydney", "2025-07-05T08:30"), ("18:30 Mars/Base", None), ("18:30 America/Argentina/Buenos_Aires", "2025-07-05T21:30")])
+def test_regions_all_over_the_world(time, utc):
+    from datetime import datetime, timezone
+
+    from fixturelake.functions.instants import ZoneTables, to_instants
+
+    m = to_instants(["05.07.2025"], [time], ZoneTables.build())[0]
+    assert (None if m != m else datetime.fromtimestamp(m * 60, timezone.utc).strftime("%Y-%m-%dT%H:%M")) == utc
