@@ -6,9 +6,9 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import islice
-from operator import eq
+from operator import eq, or_
 
 import ahocorasick
 import pyarrow as pa
@@ -249,10 +249,10 @@ def worded(lines: list[str]) -> bool:
 # Parts of a text that values fill: names and numbers, variables, defaults, blanks to fill in, and the gap (¶) a missing value leaves.
 _GAP = "¶"
 _LEFT = (
-    r"[A-Za-z]\w*_\w+(?:\.\w+)*|[a-z]+\.[a-z]+_\w+|[\{<\[«%$_@#]{1,3}[A-Za-zÇĞİÖŞÜçğıöşü][\w.]*[\}>\]»%$_@]{1,3}|"
+    r"[A-Za-z][A-Za-z0-9]*+_\w+(?:\.\w+)*+|[a-z]++\.[a-z]++_\w+|[\{<\[«%$_@#]{1,3}[A-Za-zÇĞİÖŞÜçğıöşü][\w.]*[\}>\]»%$_@]{1,3}|"
     r"(?i:undefined|null|none|nan|nil|nat|n/a|\[object object\]|\(null\))|#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!|NULL!|NUM!|YOK|BAŞV!|DEĞER!|AD\?|SAYI/0!)|%[sd]|\.{3,}|_{2,}|…+|-{3,}"
 )
-_VALUE = rf"(?:{_LEFT}|{_GAP}|\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}’'/-]*(?:\.(?=\p{{Lu}}))?|[\p{{L}}]*\p{{N}}[\p{{L}}\p{{N}}]*(?:[.:/-]\p{{N}}+)*)"
+_VALUE = rf"(?:{_LEFT}|{_GAP}|\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}’'/-]*+(?:\.(?=\p{{Lu}}))?|\p{{L}}*+\p{{N}}[\p{{L}}\p{{N}}]*+(?:[.:/-]\p{{N}}++)*+)"
 #: Begins and ends of a value: neither inside a word.
 _REGION = rf"(?<![\p{{L}}\p{{N}}_]){_VALUE}(?:\s+{_VALUE})*(?![\p{{L}}\p{{N}}_])"
 _SENTENCE = r"[.!?](?<=[\p{L}\p{N}\p{M})\]}»>\"'!?].)\s+|\n"
@@ -260,11 +260,14 @@ _SENTENCE = r"[.!?](?<=[\p{L}\p{N}\p{M})\]}»>\"'!?].)\s+|\n"
 
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
     """(_id, _seg): sentences and lines with blanks of one kind, and a mark where a value is missing: between a blank and a mark, between two blanks, after a line's last colon."""
-    t = F.regexp_replace(F.translate(F.col(text), "\r\u00a0\u202f\u2009\t", "\n    "), "[\u200b-\u200f\u00ad\ufeff]", "")
-    t = F.regexp_replace(t, ": *\n", f": {_GAP}\n")
-    gaps = F.regexp_replace(F.col("_s"), r"(?<=\S)  +(?=\S)| (?=[,.;:!?)](?:\s|$))", f" {_GAP} ")
+    has = lambda c, *marks: reduce(or_, (F.contains(c, F.lit(m)) for m in marks))
+    t = F.translate(F.col(text), "\r\u00a0\u202f\u2009\t\u200b\u200c\u200d\u200e\u200f\u00ad\ufeff", "\n    ")
+    t = F.when(has(t, ":\n", ": \n"), F.regexp_replace(t, ": *\n", f": {_GAP}\n")).otherwise(t)
     parts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.explode(F.split(t, _SENTENCE)).alias("_s")).where("_s <> ''")
-    return parts.select("_id", F.trim(F.regexp_replace(F.regexp_replace(gaps, " +", " "), rf"(?<={_GAP}) (?=[,.;:!?)])", "")).alias("_seg"))
+    gaps = F.regexp_replace(F.trim("_s"), r"(?<=\S)  +(?=\S)| (?=[,.;:!?)](?:\s|$))", f" {_GAP} ")
+    gaps = F.regexp_replace(F.regexp_replace(gaps, " +", " "), rf"(?<={_GAP}) (?=[,.;:!?)])", "")
+    # few sentences hold a gap, and a search for fixed marks is cheaper than a pattern
+    return parts.select("_id", F.when(has(F.col("_s"), "  ", *(f" {m}" for m in ",.;:!?)")), F.trim(gaps)).otherwise(F.trim("_s")).alias("_seg"))
 
 
 def aligned(df: DataFrame, key: str, text: str) -> DataFrame:
