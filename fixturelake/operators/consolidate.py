@@ -13,7 +13,7 @@ from fixturelake.functions.keys import content_key, crew_size, everyone, is_name
 from fixturelake.functions.text import has_letter, is_placeholder
 from fixturelake.operators.merge import partition_diff
 from fixturelake.operators.outcomes import listed_in
-from fixturelake.session import broadcast_checked
+from fixturelake.session import broadcast_checked, durable
 
 
 def active(rows: DataFrame) -> DataFrame:
@@ -57,6 +57,7 @@ def consolidation_plan(rows: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def apply_consolidation(plan: DataFrame, assignments: DataFrame, rows: DataFrame, now: datetime, removals: bool = False, dry_run: bool = False) -> dict[str, DataFrame]:
     """New snapshots, an undo log and counters. Rows off the canonical one are cancelled once no assignment is left on them."""
+    plan = durable(plan)  # asked for six times below
     undo = assignments.join(plan.select(F.col("assignment_id").alias("id"), "action", "canonical_id"), "id")
     counters = plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
     if dry_run:
@@ -66,7 +67,7 @@ def apply_consolidation(plan: DataFrame, assignments: DataFrame, rows: DataFrame
     moved = assignments.join(p, "id", "left").where(~F.coalesce(F.col("action"), F.lit("")).isin(*gone))
     moved = moved.withColumn("match_id", F.when(F.col("action") == "MOVE", F.col("canonical_id")).otherwise(F.col("match_id")))
     w = W.partitionBy("user_id", "match_id", F.when(F.col("user_id").isNull(), F.col("id"))).orderBy(F.coalesce(F.col("action"), F.lit("")) == "MOVE", "id")
-    kept = moved.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*assignments.columns)
+    kept = durable(moved.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*assignments.columns))
     stale = plan.select(F.col("from_row_id").alias("id")).distinct().join(kept.select(F.col("match_id").alias("id")), "id", "left_anti").withColumn("_stale", F.lit(True))
     hit = F.col("_stale") & F.col("cancelled_at").isNull()
     new_rows = rows.join(stale, "id", "left").withColumns({
