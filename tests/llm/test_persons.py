@@ -51,7 +51,7 @@ def test_short_surnames_and_several_people(spark):
 
 
 def test_recall_on_planted_variants(spark):
-    """Recall over planted spellings of 300 invented people: 0.99 or more, and no cell means another person."""
+    """Recall over planted spellings of 100 invented people: 0.99 or more, and no cell means another person."""
     rnd = random.Random(11)
     heads, tails = ["Kızıl", "Boz", "Alaca", "Demir", "Sarp", "Kuzgun", "Turnaz", "Meşebar", "Zeybel", "Ilgıt"], ["kaymaz", "tepeli", "bükülmez", "sancaktan", "oğlu", "pınarbey", "durmazlar", "erenbey", "çalan", "zorbilek"]
     given = ["Ahmet", "Zeynep", "Mustafa", "Gülşah", "Ömer Faruk", "Elif Naz", "Hüseyin", "Nurettin", "Beyza", "Çağla"]
