@@ -5,18 +5,21 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache, reduce
+import zlib
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import islice
-from operator import eq, or_
+from operator import eq
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixturelake.operators.skew import attach
-from fixturelake.session import broadcast_checked, durable, spread
+from fixturelake.session import broadcast_checked, durable, small_enough, spread
 
 #: Identical masked pages from this many records on are one template: where wording speaks for it, and where only its words do.
 PAGE_COUNT, SILENT_COUNT = 2, 3
@@ -25,6 +28,11 @@ SLOT_VALUES, FIXED_WORDS, FIXED_WORDS_BLANK = 2, 2, 3
 #: Share of a template's records that hold a word in the same place, from which it is fixed.
 FIXED_SHARE = 0.8
 
+#: Skeletons, or sentences of pages, and their characters, up to which all workers know them; beyond that they are joined.
+KNOWN_ROWS, KNOWN_CHARS = 200_000, 32_000_000
+#: Different tokens a worker remembers.
+REMEMBERED = 200_000
+
 #: Share of lines from which a text is a trace or an empty form.
 SHARE = 0.8
 
@@ -38,12 +46,17 @@ STRONG = [
 WEAK = [r"\{\s*(N)\s*\}", r"<(N)>", r"«(N)»", r"%(N)%", r"\$(N)\$", r"(?<!\w)__(N?)__(?!\w)", r"\[(N)\]"]
 STRONG = [re.compile(p.replace("N", _NAME)) for p in STRONG]
 WEAK = [re.compile(p.replace("(N?)", r"([A-Za-z][\w.]*?)").replace("N", _NAME)) for p in WEAK]
+#: How often which mark stands at least where each of them matches.
+WEAK_MARKS = [("{", 1), ("<", 1), ("«", 1), ("%", 2), ("$", 2), ("__", 2), ("[", 1)]
 #: What an unset variable leaves in its slot.
 DEFAULTS = [
     "undefined", "null", "(null)", "none", "nan", "nil", "[object object]", "#ref!", "#n/a", "#value!", "#name?", "#div/0!", "#null!", "#num!",
     "#yok", "#başv!", "#değer!", "#ad?", "#sayı/0!", "#sayi!", "%s", "%d", "n/a", "<na>", "nat",
 ]
 _DEFAULT = re.compile("|".join(re.escape(d) for d in DEFAULTS), re.I)
+#: One of these words, or of these marks, stands wherever a default does that isn't part of a word.
+DEFAULT_WORDS = {"undefined", "null", "none", "nan", "nil", "nat"}
+DEFAULT_MARKS = ("#", "%s", "%d", "n/a", "[object", "<na>")
 LOREM = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim "
     "veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse "
@@ -85,9 +98,6 @@ ABOUT = (
 )
 
 _ABOUT = re.compile(ABOUT)
-#: One of them stands in each of these words.
-ABOUT_STEMS = ("page", "pagina", "página", "seite", "sayfa", "site", "serv", "request", "requête", "solicitud", "richiesta", "anfrage", "istek", "err", "fehler", "hata", "sesi", "sessi", "sitzung", "oturum",
-               "acces", "accès", "zugriff", "erişim", "navig", "naveg", "browser", "tarayici", "java", "script", "cookie", "login", "connexi", "conexi", "connecti", "verbindung", "bağlanti", "http", "url", "lien", "link")
 #: Lines that accompany such a page, or stand in an empty form.
 SIDE = re.compile(
     r"^(?:(?:request|trace|error|ray|incident)[ -]?(?:id|no|code)\b.*|referans\w*:? ?\w*\d\w*|ref\.? ?\w*\d\w*|\(?(?:kod|code|no)\.? ?:?\d+\)?|[«‹<←]\s*+\w[ \w]*+|geri dön|go back|\(?sayfa \d+/\d+\)?|page \d+ ?(?:/|of) ?\d+|\W*+(?:\d++\W*+)?|[0-9a-f-]{16,}|"
@@ -102,6 +112,10 @@ INVITE = re.compile(
     r"(?:hier|ihr) (?:ihren )?text|insert (?:text|title|content)|^(?:sub)?title$|^alt başlık$",
     re.I,
 )
+#: What some folded token holds where an invitation stands; in an empty form, else; and in a trace but for frames.
+INVITES = re.compile(r"girin|yazin|ekley|ekleme|eklenecek|gelecek|buraya|^here|add$|click$|^text|insert|title|alt$")
+FORMS = re.compile(r"\.{3}|_{3}|…|-{3}|[\[<#]|todo|tbd|fixme|xxx")
+TRACES = re.compile(r"error:|exception|traceback|caused$|file$|panic:|\.{3}|[~^]")
 TODO = re.compile(r"^\W*(?:todo|tbd|fixme|xxx)\b\W*+(?:\w++\W*+)?$", re.I)
 BLANK = re.compile(r"^[^:\n.…_]{0,40}:?\s*(?:(?:\.{3,}+|_{3,}+|…++|-{3,}+|\[\s*\])[\s/·,:-]*+)++$")
 FILLED = re.compile(r"[^:\n]{1,40}:\s*\w")
@@ -116,8 +130,10 @@ _UNSEEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064
 
 def plain(text: str) -> str:
     """Compatibility forms and blanks of all kinds as plain ones; line ends as one sort."""
-    s = text.replace("\r\n", "\n").replace("\r", "\n")
+    s = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
     s = s if unicodedata.is_normalized("NFKC", s) else unicodedata.normalize("NFKC", s)
+    if s.replace("\n", "").isprintable():  # neither unseen marks nor other blanks
+        return s
     return re.sub(r"[^\S\n ]", " ", _UNSEEN.sub("", s))
 
 
@@ -157,7 +173,7 @@ _WORD = re.compile(r"\w+")
 
 def filler(text: str) -> bool:
     """Whether the text holds filler: a run of filler Latin, or one short phrase said over and over."""
-    low = text.replace("İ", "i").replace("I", "ı").lower().replace("ı", "i")
+    low = folded(text)
     words = _WORD.findall(low)
     if not LOREM.isdisjoint(words):
         run = 0
@@ -165,8 +181,8 @@ def filler(text: str) -> bool:
             run = run + 1 if w in LOREM else 0
             if run >= 8:
                 return True
-    # a phrase of k words said four times repeats each word k places on, 3 k times at least
-    if any(sum(map(eq, words, islice(words, k, None))) >= 3 * k for k in range(1, 5)):
+    # where a phrase of k words is said four times, 3 k words in a row are said again k places on
+    if any(b"\1" * (3 * k) in bytes(map(eq, words, islice(words, k, None))) for k in range(1, 5)):
         return any(any(c.isalpha() for c in m[1]) for m in REPEAT.finditer(low + " "))
     return False
 
@@ -182,62 +198,138 @@ def untraced(lines: list[str]) -> list[str]:
     return out
 
 
-def whole_page(text: str) -> str | None:
-    """What kind of page the whole text is, when it is one instead of content: trace, form or notice."""
+def whole_page(text: str, signs: int | None = None) -> str | None:
+    """What kind of page the whole text is, when it is one instead of content: trace, form or notice. signs: those of the text, where known."""
     body = html.unescape(MARKUP.sub("\n", text)) if "<" in text or "&" in text else text
     marked = body != text
+    signs = signs_of(body.split()) if marked or signs is None else signs
     lines = [x for x in (ln.rstrip() for ln in body.split("\n")) if x.strip()]
     if not lines:
         return "page" if marked else None
-    strange = untraced(lines)
-    hits = len(lines) - len(strange)
-    if (hits >= SHARE * len(lines) or hits >= max(1, len(lines) - 1) and len(strange[0]) <= 400) and any(re.match(r"\s*(?:at |file )", ln, re.I) or len(lines) <= 2 for ln in lines):
-        return "trace"
+    if marked or count(signs, TRACE_SIGN) or count(signs, FRAME_SIGN) and any(ln[0].isspace() for ln in lines):
+        strange = untraced(lines)
+        hits = len(lines) - len(strange)
+        if (hits >= SHARE * len(lines) or hits >= max(1, len(lines) - 1) and len(strange[0]) <= 400) and any(re.match(r"\s*(?:at |file )", ln, re.I) or len(lines) <= 2 for ln in lines):
+            return "trace"
     lines = [ln.strip() for ln in lines]
-    left = [ln for ln in lines if not SIDE.match(ln)]
-    if not left:
+    if all(SIDE.match(ln) for ln in lines):
         return "page" if marked or any(re.search(r"\b[45]\d\d\b|error|hata", ln, re.I) for ln in lines) else None
-    other = [ln for ln in left if not (BLANK.match(ln) or FIELD.match(ln) or TODO.match(ln) or len(ln) <= 60 and INVITE.search(ln))]
-    # headings and instructions may stand among the fields, filled fields may not
-    if len(left) - len(other) >= SHARE * len(left) and not any(FILLED.match(ln) for ln in other):
-        if any(any(c.isalnum() for c in ln) for ln in left) and (len(left) >= 2 or not BLANK.match(left[0])):
+    if marked or count(signs, FORM_SIGN) or count(signs, INVITE_SIGN):
+        left = [ln for ln in lines if not SIDE.match(ln)]
+        invites = marked or count(signs, INVITE_SIGN) > 0
+        other = [ln for ln in left if not (BLANK.match(ln) or FIELD.match(ln) or TODO.match(ln) or invites and len(ln) <= 60 and INVITE.search(ln))]
+        # headings and instructions may stand among the fields, filled fields may not
+        if len(left) - len(other) >= SHARE * len(left) and not any(FILLED.match(ln) for ln in other):
+            if any(any(c.isalnum() for c in ln) for ln in left) and (len(left) >= 2 or not BLANK.match(left[0])):
+                return "form"
+        if all(re.fullmatch(r"\W*(?:#\w+[!?/]?\w*[!?]?)\W*(?:[-/·,]\W*#\w+[!?/]?\w*[!?]?\W*)*", ln) for ln in left):
             return "form"
-    if all(re.fullmatch(r"\W*(?:#\w+[!?/]?\w*[!?]?)\W*(?:[-/·,]\W*#\w+[!?/]?\w*[!?]?\W*)*", ln) for ln in left):
-        return "form"
-    return "page" if worded(left) else None
+    return "page" if worded(lines, count(signs, STEM_SIGN)) else None
 
 
-@lru_cache(maxsize=2)
-def _stems(words: tuple[str, ...] = tuple(STEMS)) -> ahocorasick.Automaton:
+@lru_cache(maxsize=1)
+def _stems() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for w in words:
+    for w in STEMS:
         a.add_word(w, w)
     a.make_automaton()
     return a
 
 
-def about(low: str) -> bool:
-    """Whether half the sentences of a folded text or more are about what error pages are about."""
-    hits = sum(1 for _ in _stems(ABOUT_STEMS).iter(low))
-    said = [x for x in re.split(r"(?<=[.!?])\s+|\n", low) if re.search(r"[^\W\d_]", x)] if hits else []
-    return 0 < len(said) <= 2 * hits and len(said) <= 2 * sum(_ABOUT.search(x) is not None for x in said)
+def about(low: str, hits: int) -> bool:
+    """Whether half the sentences of a folded text or more are about what error pages are about. hits: tokens of the text that may be."""
+    said = []
+    for x in pieces(_SAID, low) if hits else ():
+        if re.search(r"[^\W\d_]", x):
+            said.append(x)
+            if len(said) > 2 * hits:
+                return False
+    return 0 < len(said) <= 2 * sum(_ABOUT.search(x) is not None for x in said)
+
+
+_SAID, _SAID_IN = re.compile(r"(?<=[.!?])\s+|\n"), re.compile(r"(?<=[.!?])\s+(?=\w)")
+
+
+def pieces(ends: re.Pattern, text: str) -> Iterator[str]:
+    """As split gives them, one by one."""
+    at = 0
+    for m in ends.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
+class _Remembered(dict):
+    """What a function says of a token, kept for some REMEMBERED tokens."""
+
+    def __init__(self, f: Callable):
+        self.f = f
+
+    def __missing__(self, token: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[token] = self.f(token)
+        return out
+
+
+#: What is counted over a text's tokens in one sum: bits of each count, and where it begins.
+_COUNT = 32
+STEM_SIGN, ABOUT_SIGN, DEFAULT_SIGN, LOREM_SIGN, INVITE_SIGN, FORM_SIGN, TRACE_SIGN, FRAME_SIGN, LEFT_SIGN = (_COUNT * i for i in range(9))
+
+
+def count(signs: int, of: int) -> int:
+    return signs >> of & (1 << _COUNT) - 1
+
+
+def _signs(token: str) -> int:
+    low = folded(token)
+    words = _WORD.findall(low)
+    found = {
+        STEM_SIGN: sum(1 for _ in _stems().iter(low)), ABOUT_SIGN: _ABOUT.search(low) is not None, DEFAULT_SIGN: not DEFAULT_WORDS.isdisjoint(words) or any(d in low for d in DEFAULT_MARKS),
+        LOREM_SIGN: sum(w in LOREM for w in words), INVITE_SIGN: INVITES.search(low) is not None, FORM_SIGN: FORMS.search(low) is not None, TRACE_SIGN: TRACES.search(low) is not None, FRAME_SIGN: low == "at",
+        LEFT_SIGN: may_be_left(token),
+    }
+    return sum(n << at for at, n in found.items())
+
+
+_signs_known = _Remembered(_signs)
+
+
+def signs_of(tokens: list[str]) -> int:
+    """How many signs of each kind the tokens hold: none of what is looked for in a text goes without, but for blanks (gaps). ABOUT's "java script" shows by its second word."""
+    return sum(map(_signs_known.__getitem__, tokens))
+
+
+#: A number for each token without the marks behind it; few differ that have the same.
+_number = _Remembered(lambda t: zlib.crc32(folded(t).strip(".,;:!").encode("utf-8", "surrogatepass")) | 1)
+
+
+def said_over(tokens: list[str]) -> bool:
+    """Whether a phrase may be said four times: of its k words, 3 k are said again k places on, the first and the last perhaps with marks before or behind."""
+    packed = array("I", map(_number.__getitem__, tokens)).tobytes()
+    n = int.from_bytes(packed, "little")
+    return any(b"\0" * (4 * (3 * k - 2)) in (n ^ n >> 32 * k).to_bytes(len(packed), "little") for k in range(1, 5))
 
 
 def stemmed(text: str) -> bool:
     return next(_stems().iter(folded(text)), None) is not None
 
 
-def worded(lines: list[str]) -> bool:
-    """Whether notices fill the lines, whatever their length: at most a third and never most sentences say something else."""
+def worded(lines: list[str], stems: int) -> bool:
+    """Whether notices fill the lines, but for those that accompany them, whatever their length: at most a third and never most sentences say something else. stems: how many stand there."""
     said, silent, n_silent, total = [], 0, 0, 0
-    for ln in lines:
-        for x in re.split(r"(?<=[.!?])\s+(?=\w)", ln):
+    for ln in lines if stems else ():
+        if SIDE.match(ln):
+            continue
+        for x in pieces(_SAID_IN, ln):
             if re.search(r"\w", x):
                 total += len(x)
                 if stemmed(x):
                     said.append(x)
                 elif not SIDE.match(x.strip(". ")):
                     silent, n_silent = silent + len(x), n_silent + 1
+                    if n_silent > stems:  # more than sentences that can hold one
+                        return False
     if not said or silent > 0.34 * total or n_silent > len(said):
         return False
     other = [x for x in said if not PAGE.search(x)]
@@ -258,39 +350,145 @@ _REGION = rf"(?<![\p{{L}}\p{{N}}_]){_VALUE}(?:\s+{_VALUE})*(?![\p{{L}}\p{{N}}_])
 _SENTENCE = r"[.!?](?<=[\p{L}\p{N}\p{M})\]}»>\"'!?].)\s+|\n"
 
 
-def segments(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_id, _seg): sentences and lines with blanks of one kind, and a mark where a value is missing: between a blank and a mark, between two blanks, after a line's last colon."""
-    has = lambda c, *marks: reduce(or_, (F.contains(c, F.lit(m)) for m in marks))
-    t = F.translate(F.col(text), "\r\u00a0\u202f\u2009\t\u200b\u200c\u200d\u200e\u200f\u00ad\ufeff", "\n    ")
-    t = F.when(has(t, ":\n", ": \n"), F.regexp_replace(t, ": *\n", f": {_GAP}\n")).otherwise(t)
-    parts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.explode(F.split(t, _SENTENCE)).alias("_s")).where("_s <> ''")
-    gaps = F.regexp_replace(F.trim("_s"), r"(?<=\S)  +(?=\S)| (?=[,.;:!?)](?:\s|$))", f" {_GAP} ")
-    gaps = F.regexp_replace(F.regexp_replace(gaps, " +", " "), rf"(?<={_GAP}) (?=[,.;:!?)])", "")
-    # few sentences hold a gap, and a search for fixed marks is cheaper than a pattern
-    return parts.select("_id", F.when(has(F.col("_s"), "  ", *(f" {m}" for m in ",.;:!?)")), F.trim(gaps)).otherwise(F.trim("_s")).alias("_seg"))
+_D = "\ue000"  # around each value while a sentence is put together
+_BETWEEN = f"{_D} {_D}"
+
+
+def _either(words: str) -> str:
+    """Of A to Z either case, as (?i:) has it in the patterns' first language."""
+    return re.sub(r"(?<!\\)[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words)
 
 
-def aligned(df: DataFrame, key: str, text: str) -> DataFrame:
+def _ascii(pattern: str) -> str:
+    """The pattern with words, blanks and either case of ASCII only."""
+    out = re.sub(r"\(\?i:((?:\\.|[^()])*)\)", lambda m: f"(?:{_either(m[1])})", pattern)
+    return out.replace(r"[\w.]", "[A-Za-z0-9_.]").replace(r"\w", "[A-Za-z0-9_]").replace(r"\s", r"[ \t\n\x0b\f\r]")
+
+
+_REGIONS = regex.compile(_ascii(_REGION))
+_IN_TOKEN = regex.compile(_ascii(rf"(?<![\p{{L}}\p{{N}}_]){_VALUE}(?![\p{{L}}\p{{N}}_])"))
+_SHOWN = regex.compile(_ascii(rf"{_GAP}|(?<![\p{{L}}\p{{N}}_])(?:{_LEFT})(?![\p{{L}}\p{{N}}_])"))
+_ENDS = regex.compile(_ascii(_SENTENCE))
+_BLANKS = [*((c, " ") for c in "\u00a0\u202f\u2009\t"), ("\r", "\n"), *((c, "") for c in "\u200b\u200c\u200d\u200e\u200f\u00ad\ufeff")]
+_GAP_MARKS = re.compile(" [ ,.;:!?)]")
+_GAPS = regex.compile(_ascii(r"(?<=\S)  +(?=\S)| (?=[,.;:!?)](?:\s|[\x85\u2028\u2029]?\Z))").replace(r"\S", r"[^ \t\n\x0b\f\r]"))
+
+#: A token by itself with its values marked, None if the next token may decide about it. No value but "[object object]" holds a blank.
+_marked = _Remembered(lambda t: None if _D in t or "\x0b" in t or "\f" in t or t[-7:].lower() == "[object" else _IN_TOKEN.sub(rf"{_D}\g<0>{_D}", t))
+
+
+def spaced(text: str) -> str:
+    """Blanks and line ends of one kind, and a mark where a value is missing after a line's last colon."""
+    t = text
+    for c, by in _BLANKS:
+        if c in t:
+            t = t.replace(c, by)
+    return re.sub(": *\n", f": {_GAP}\n", t) if ":\n" in t or ": \n" in t else t
+
+
+def may_be_left(token: str) -> bool:
+    return token[-7:].lower() == "[object" or _SHOWN.search(token) is not None
+
+
+def segments(t: str, parts: list[str]) -> Iterator[str]:
+    """Sentences and lines (parts) of a spaced text, and a mark where a value is missing: between a blank and a mark, or between two blanks."""
+    gaps = _GAP_MARKS.search(t)
+    for x in parts:
+        if x:
+            y = x.strip(" ")
+            if gaps and _GAP_MARKS.search(x):
+                y = re.sub(" +", " ", _GAPS.sub(f" {_GAP} ", y))
+                y = re.sub(rf"(?<={_GAP}) (?=[,.;:!?)])", "", y).strip(" ")
+            yield y
+
+
+def aligning(seg: str) -> tuple[str, list[str]]:
+    """A sentence's skeleton before it is lowered, its fixed words with ¤ for each value, and the values. Values with only a blank between are one."""
+    try:
+        parts = " ".join(map(_marked.__getitem__, seg.split(" "))).replace(_BETWEEN, " ").split(_D)
+        return "¤".join(parts[::2]), parts[1::2]
+    except TypeError:
+        return _REGIONS.sub("¤", seg), _REGIONS.findall(seg)
+
+
+def small_known(df: DataFrame, text: str) -> bool:
+    """Whether all workers may know df."""
+    n, chars = df.agg(F.count(F.lit(1)), F.sum(F.length(text))).first()
+    return n <= KNOWN_ROWS and (chars or 0) <= KNOWN_CHARS
+
+
+def placed(df: DataFrame, key: str, text: str, asked: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_id, _sk, _at, _v): values and their places in sentences with one of the asked skeletons; and (_id, _p): texts where a sentence of a page stands, or begins a sentence. One reading of the texts.
+
+    asked: (_text, _sk), pages: (_p, page). Where there are few of them, all workers know them, else they are joined.
+    """
+    sc = df.sparkSession.sparkContext
+    known = {r[0]: r[1] for r in asked.select("_text", "_sk").toLocalIterator()} if small_known(asked, "_text") else None
+    heads: dict[str, list[tuple[str, int]]] | None = {} if small_known(pages, "page") else None
+    if heads is not None:
+        for p, page in pages.select("_p", "page").toLocalIterator():
+            for y in {masked(y) for y in _ENDS.split(page)}:
+                if " " in y:
+                    heads.setdefault(head(y), []).append((y, p))
+    shared = sc.broadcast((known, heads))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, heads = shared.value
+        key_of = _Remembered(lambda sk: known.get(sk.lower())) if known is not None else None
+        begins = _Remembered(lambda x: heads.get(masked(x)))
+        for b in batches:
+            ids, keys, texts, values, ends, inside = [], [], [], [], [0], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not t:
+                    continue
+                s = spaced(t)
+                parts = _ENDS.split(s)
+                for seg in segments(s, parts):
+                    sk, found = aligning(seg)
+                    if not found:
+                        continue
+                    if key_of is None:
+                        keys.append(None), texts.append(sk.lower())
+                    elif (k := key_of[sk]) is not None:
+                        keys.append(k), texts.append(None)
+                    else:
+                        continue
+                    ids.append(i), values.extend(found), ends.append(len(values))
+                if heads:
+                    theirs = set()
+                    for x in parts if s == t else _ENDS.split(t):
+                        x = x.lstrip(" ")
+                        if like := begins[head(x)]:
+                            low = masked(x)
+                            theirs.update(p for y, p in like if low.startswith(y))
+                    inside += [(i, p) for p in theirs]
+            n = len(inside)
+            lists = pa.ListArray.from_arrays(pa.array([*ends, *[len(values)] * n], pa.int32()), pa.array(values, pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*ids, *(i for i, _ in inside)], b.schema.field(0).type), pa.array([*keys, *(p for _, p in inside)], pa.int64()), lists, pa.array([*texts, *[None] * n], pa.string())], names=["_id", "_sk", "_vs", "_text"]
+            )
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(key, text).mapInArrow(place, f"_id {kind}, _sk long, _vs array<string>, _text string")
+    if known is None:
+        met = rows.join(asked.select("_text", F.col("_sk").alias("_asked")), "_text", "left")
+        rows = met.withColumn("_sk", F.coalesce("_asked", "_sk")).where("_sk IS NOT NULL")
+    rows = durable(rows.select("_id", "_sk", "_vs"))
+    inside = rows.where("size(_vs) = 0").select("_id", F.col("_sk").alias("_p")) if heads is not None else said_inside(df, key, text, pages)
+    return rows.select("_id", "_sk", F.posexplode("_vs").alias("_at", "_v")), inside
+
+
+def leftovers(values: DataFrame, asked: DataFrame) -> DataFrame:
     """(_id): records with a slot that kept its variable's name, a default or a blank where other records of their template hold values.
 
     Sentences are records of one template when they agree in their fixed words: what stays when values (capitalised
     words, numbers, variables, defaults, blanks) are cut out. Within a template every place of a value is aligned over
     all its records; words most of them share there are fixed too. A place is a slot when at least SLOT_VALUES different real values fill it
     and fill it no less often than leftovers do, so words that only look like leftovers ("null skorlu maç") and
-    blanks left by every record stay. First pass: templates of sentences that show a leftover; only
-    their records are aligned, by counts, so a template may hold any share of the corpus.
+    blanks left by every record stay. asked: (_sk, _w), templates of sentences that show a leftover, and their words; only
+    their records are aligned, by counts, so a template may hold any share of the corpus. values: as placed gives them.
     """
-    words = lambda c: F.size(F.expr(f"regexp_extract_all({c}, '(?<![¤\\\\p{{L}}])\\\\p{{Ll}}[\\\\p{{L}}\\\\p{{M}}]+', 0)"))
-    shown = F.col("_seg").rlike(rf"{_GAP}|(?<![\p{{L}}\p{{N}}_])(?:{_LEFT})(?![\p{{L}}\p{{N}}_])")
-    skeleton = F.lower(F.regexp_replace("_seg", _REGION, "¤"))
-    segs = segments(df, key, text)
-    made = segs.withColumn("_sk", skeleton)
-    asked = durable(made.where(shown).groupBy("_sk").agg(F.count(F.lit(1)).alias("_m")).where(words("_sk") >= FIXED_WORDS).select("_sk"))
-    of = made.join(broadcast_checked(asked), "_sk", "left_semi").select("_id", F.xxhash64("_sk").alias("_sk"), words("_sk").alias("_w"), "_seg")
-    values = durable(
-        of.select("_id", "_sk", "_w", F.posexplode(F.expr(f"regexp_extract_all(_seg, '{_sql(_REGION)}', 0)")).alias("_at", "_v"))
-    )
-    each = values.groupBy("_sk", "_at", "_w", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    each = values.groupBy("_sk", "_at", "_v").agg(F.count(F.lit(1)).alias("_n"))
     told = durable(each.withColumn("_t", F.split("_v", " ")))
     size = told.groupBy("_sk", "_at").agg(F.sum("_n").alias("_all"))
     held = told.select("_sk", "_at", "_n", F.explode(F.array_distinct("_t")).alias("_x")).groupBy("_sk", "_at", "_x").agg(F.sum("_n").alias("_c"))
@@ -303,52 +501,54 @@ def aligned(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = (
         F.when(F.size("_t") == 0, "blank").when(F.forall("_t", dots), "blank").when(F.forall("_t", left), "name").when(F.exists("_t", left), "mixed").otherwise("real")
     )
-    judged = durable(bare.select("_sk", "_at", "_w", "_v", "_n", kind.alias("_kind"), F.concat_ws(" ", "_t").alias("_real")))
+    judged = durable(bare.select("_sk", "_at", "_v", "_n", kind.alias("_kind"), F.concat_ws(" ", "_t").alias("_real")))
     real, lost = F.col("_kind") == "real", F.col("_kind").isin("name", "blank")
     slots = judged.groupBy("_sk", "_at").agg(
         F.sum(F.when(real, F.col("_n"))).alias("_reals"), F.sum(F.when(lost, F.col("_n"))).alias("_losts"), F.approx_count_distinct(F.when(real, F.col("_real"))).alias("_kinds"),
     ).where((F.col("_kinds") >= SLOT_VALUES) & (F.col("_reals") >= F.col("_losts")))
     enough = (F.col("_kind") == "name") | (F.col("_w") >= FIXED_WORDS_BLANK)
-    kept = judged.where(lost & enough).join(slots.select("_sk", "_at"), ["_sk", "_at"], "left_semi").select("_sk", "_at", "_v", "_n")
-    return attach(values.select("_id", "_sk", "_at", "_v"), kept, ["_sk", "_at", "_v"], "_n").select("_id").distinct()
+    kept = judged.where(lost).join(asked.select("_sk", "_w"), "_sk").where(enough).join(slots.select("_sk", "_at"), ["_sk", "_at"], "left_semi").select("_sk", "_at", "_v", "_n")
+    if small_enough(kept := durable(kept)):
+        return values.join(F.broadcast(kept), ["_sk", "_at", "_v"], "left_semi").select("_id").distinct()
+    return attach(values, kept, ["_sk", "_at", "_v"], "_n").select("_id").distinct()
+
+
+def head(c: str) -> str:
+    return " ".join(c.split(" ", 2)[:2])
 
 
-def _sql(pattern: str) -> str:
-    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+def masked(c: str) -> str:
+    """page_mask on one sentence without its end."""
+    low = folded(c.replace("\r", " ").replace("\u00a0", " ").replace("\t", " "))
+    return re.sub(r" +|[.!?]+\Z", " ", re.sub(r"\b(?=[0-9a-f-]*[0-9])[0-9a-f-]{8,}\b|[0-9]+", "0", low)).strip(" ")
 
 
-def masked(c: Column) -> Column:
-    """page_mask for Spark, on one sentence without its end."""
-    low = F.lower(F.translate(c, "İIı\r\u00a0\t", "iii   "))
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b|\d+", "0"), " +|[.!?]+$", " "))
+def said_inside(df: DataFrame, key: str, text: str, pages: DataFrame) -> DataFrame:
+    """(_id, _p): as placed gives them, joined, where the pages are too many for the workers to know them all."""
+    first, whole = F.udf(lambda x: masked(head(x)), "string"), F.udf(masked, "string")
+    asked = pages.select("_p", F.explode(F.split("page", _SENTENCE)).alias("_y")).select("_p", whole("_y").alias("_y")).where("instr(_y, ' ') > 0").withColumn("_head", F.substring_index("_y", " ", 2))
+    said = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.explode(F.split(F.col(text), _SENTENCE)).alias("_x")).select("_id", F.ltrim("_x").alias("_x"))
+    met = said.withColumn("_head", first("_x")).join(asked, "_head").select("_id", "_p", "_y", whole("_x").alias("_x"))
+    return met.where("startswith(_x, _y)").select("_id", "_p")
 
 
-def repeated_pages(df: DataFrame, key: str, text: str, pages: DataFrame) -> DataFrame:
+def repeated_pages(theirs: DataFrame, often: DataFrame, inside: DataFrame) -> DataFrame:
     """(_id): whole pages of error templates known by repetition alone, whatever their wording, language and length.
 
-    pages: (_id, page), texts half of whose sentences or more are about what such pages are about, masked. A page is a template when
-    SILENT_COUNT records or more are the same but for numbers and ids, and none of its sentences stands, or begins a
-    sentence, in any text that is no such page: content that is copied or cut short shares its sentences with other content,
-    templates of errors don't.
+    theirs: (_id, _p), texts half of whose sentences or more are about what such pages are about, and which SILENT_COUNT records or more are, the same but for numbers
+    and ids. often: (_p, _n). Such a page is a template when none of its sentences stands, or begins a sentence, in any text that is no such page (inside): content
+    that is copied or cut short shares its sentences with other content, templates of errors don't.
     """
-    named = pages.select("_id", F.xxhash64("page").alias("_p"), "page")
-    often = durable(named.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.first("page").alias("page")).where(F.col("_n") >= SILENT_COUNT))
-    theirs = durable(attach(named.select("_id", "_p"), often.select("_p", "_n"), ["_p"], "_n"))
-    head = lambda c: F.substring_index(c, " ", 2)
-    asked = often.select("_p", F.explode(F.split("page", _SENTENCE)).alias("_y")).select("_p", masked(F.col("_y")).alias("_y")).where("instr(_y, ' ') > 0").withColumn("_head", head(F.col("_y")))
-    rest = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(broadcast_checked(theirs.select("_id")), "_id", "left_anti")
-    said = rest.select(F.explode(F.split("_t", _SENTENCE)).alias("_x")).select(F.ltrim("_x").alias("_x")).withColumn("_head", masked(head(F.col("_x"))))
-    inside = said.join(broadcast_checked(asked), "_head").where(F.startswith(masked(F.col("_x")), F.col("_y"))).select("_p").distinct()
-    known = often.join(inside, "_p", "left_anti").select("_p", "_n")
-    return attach(theirs.select("_id", "_p"), known, ["_p"], "_n").select("_id")
+    others = inside.join(broadcast_checked(theirs.select("_id")), "_id", "left_anti").select("_p").distinct()
+    return attach(theirs, often.join(others, "_p", "left_anti").select("_p", "_n"), ["_p"], "_n").select("_id")
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, reason): texts that are residue of a template, filler, an error or script notice, an empty form or a trace.
 
     Three ways, each over whole texts of any length: sentences of one template are aligned and slots that kept a name,
-    a default or a blank are found (aligned); pages repeated as a whole that never stand in content (repeated_pages);
-    and one pass that judges each text by itself. There a text is flagged when a slot in strong delimiters still holds
+    a default or a blank are found (leftovers); pages repeated as a whole that never stand in content (repeated_pages);
+    and one pass that judges each text by itself. Texts are read twice: for that pass, which finds the templates and pages asked about too, and to look for these (placed). In the first a text is flagged when a slot in strong delimiters still holds
     a name (unless it is quoted as a name), when one in weak delimiters holds a name the corpus has in strong ones,
     when one default fills two slots side by side, when filler runs through it, when all of it is a trace or an empty form, or when
     the wording of an error, access, session or script notice fills it, so that content speaking of such
@@ -364,31 +564,36 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
             def add(i, reason, name=None, mask=None):
                 ids.append(i), reasons.append(reason), names.append(name), masks.append(mask)
 
+            shown: set[str] = set()
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t or not t.strip():
                     continue
-                s = plain(t)
+                s, x = plain(t), spaced(t)
+                tokens = s.split()
+                signs = signs_of(tokens)
+                if _GAP_MARKS.search(x) or count(signs if s == x else signs_of(x.split()), LEFT_SIGN):
+                    shown.update(aligning(seg)[0].lower() for seg in segments(x, _ENDS.split(x)) if _SHOWN.search(seg))
                 marked = names_in(s, STRONG) if any(c in s for c in "{@<[$#") else ()
                 strong.update(marked)
-                if _DEFAULT.search(s) and any(default_slots(ln) for ln in s.split("\n")):
+                if count(signs, DEFAULT_SIGN) and _DEFAULT.search(s) and any(default_slots(ln) for ln in s.split("\n")):
                     add(i, "default")
-                elif filler(s):
+                elif (count(signs, LOREM_SIGN) >= 8 or said_over(tokens)) and filler(s):
                     add(i, "filler")
-                elif kind := whole_page(s):
+                elif kind := whole_page(s, signs):
                     add(i, kind)
                 elif marked:
                     add(i, "slot")
                 else:
-                    if any(c in s for c in "{<«%$_["):
-                        for n in names_in(s, WEAK):
-                            add(i, "slot", n)
-                    low = folded(s)
-                    if (n := sum(1 for _ in _stems().iter(low))) and 200 * n >= len(s):
+                    for n in names_in(s, [p for p, (c, least) in zip(WEAK, WEAK_MARKS) if c in s and s.count(c) >= least]):
+                        add(i, "slot", n)
+                    if (n := count(signs, STEM_SIGN)) and 200 * n >= len(s):
                         m = page_mask(s)
                         if sum(len(x[0]) for x in PAGE.finditer(m)) >= 0.3 * len(m):
                             add(i, "page", None, m)
-                    if about(low):
+                    if count(signs, ABOUT_SIGN) and about(low := folded(s), count(signs, ABOUT_SIGN)):
                         add(i, "repeated", None, page_mask(low))
+            for sk in shown:
+                add(None, "shown", None, sk)
             for n in strong:
                 add(None, "strong", n)
             yield pa.RecordBatch.from_arrays(
@@ -404,7 +609,14 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     paged = judged.where("reason = 'page' AND page IS NOT NULL").withColumn("page", F.xxhash64("page"))
     often = paged.groupBy("page").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= PAGE_COUNT)
     repeated = attach(paged.select("_id", "page"), often, ["page"], "_n").select("_id", F.lit("page").alias("reason"))
-    slots = aligned(df, key, text).select("_id", F.lit("slot").alias("reason"))
-    pages = repeated_pages(df, key, text, judged.where("reason = 'repeated'").select("_id", "page")).select("_id", F.lit("page").alias("reason"))
+    # templates of sentences that show a leftover
+    words = F.size(F.expr("regexp_extract_all(_text, '(?<![¤\\\\p{L}])\\\\p{Ll}[\\\\p{L}\\\\p{M}]+', 0)"))
+    asked = durable(judged.where("reason = 'shown'").select(F.col("page").alias("_text")).distinct().select("_text", F.xxhash64("_text").alias("_sk"), words.alias("_w")).where(F.col("_w") >= FIXED_WORDS))
+    named = judged.where("reason = 'repeated'").select("_id", F.xxhash64("page").alias("_p"), "page")
+    same = durable(named.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.first("page").alias("page")).where(F.col("_n") >= SILENT_COUNT))
+    theirs = durable(attach(named.select("_id", "_p"), same.select("_p", "_n"), ["_p"], "_n"))
+    values, inside = placed(df, key, text, asked, same)
+    slots = leftovers(values, asked).select("_id", F.lit("slot").alias("reason"))
+    pages = repeated_pages(theirs, same.select("_p", "_n"), inside).select("_id", F.lit("page").alias("reason"))
     found = sure.unionByName(weak).unionByName(repeated).unionByName(slots).unionByName(pages)
     return found.groupBy(F.col("_id").alias(key)).agg(F.min("reason").alias("reason"))

@@ -108,3 +108,38 @@ def test_every_wording_holds_a_stem():
         return out
 
     assert all(stemmed(x.upper()) and stemmed(x) for p in PAGES for x in shortest(_parser.parse(p)))
+
+
+def test_texts_are_read_twice(rows, tmp_path):
+    there = str(tmp_path / "read")
+
+    def counted(batches):
+        for b in batches:
+            with open(there, "a") as f:
+                f.write("".join(f"{i}\n" for i in b.column(0).to_pylist()))
+            yield b
+
+    df = rows("doc_id long, text string", *({"doc_id": i, "text": t} for i, t in enumerate([*SLOTS, *LEFT, *[FRENCH] * 3, REAL])))
+    got = {r.doc_id for r in residue(df.repartition(4).mapInArrow(counted, df.schema), "doc_id", "text").collect()}
+    assert got == {*range(len(SLOTS), len(SLOTS) + len(LEFT) + 3)}
+    read = open(there).read().split()
+    assert sorted(read) == sorted([str(i) for i in range(len(SLOTS) + len(LEFT) + 4)] * 2)
+
+
+def test_templates_and_pages_too_many_to_know_are_joined(rows, monkeypatch):
+    from fixturelake.llm import residue as module
+
+    monkeypatch.setattr(module, "KNOWN_ROWS", 0)
+    copied = "Der Server hat die Seite verloren."
+    docs = [*SLOTS, *LEFT, *[FRENCH] * 3, *[copied] * 3, f"{REAL} {copied} Danach ging es weiter.", REAL]
+    df = rows("doc_id long, text string", *({"doc_id": i, "text": t} for i, t in enumerate(docs)))
+    assert {docs[r.doc_id] for r in residue(df, "doc_id", "text").collect()} == {*LEFT, FRENCH}
+
+
+@pytest.mark.parametrize("seg", [
+    *SLOTS, *LEFT, *GOOD["marks"].split(". "), "Kaya Spor [object Object] [Object object]. x[object Object]", "A.Ş. ile A.B_c ve a.b_c, eTicket Ⅷ x² 3x3", "( Kaya ) Ali'nin (Can Su), 12.05.2026-Moda", "İ I ı É. \x0b Ali \f Can", "\ue000 Ali Can ¤ ¶ Naz", "", "Ali", "ali %s %d n/a nUll undefıned",
+])
+def test_values_of_tokens_are_those_of_the_sentence(seg):
+    from fixturelake.llm.residue import _REGIONS, aligning
+
+    assert aligning(seg) == (_REGIONS.sub("¤", seg), _REGIONS.findall(seg))
